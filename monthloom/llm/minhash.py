@@ -8,9 +8,9 @@
 3. A candidate's signatures are compared batch by batch. With m of n values equal and a uniform prior the similarity has
    a Beta(m + 1, n - m + 1) posterior; the pair is pruned once P(similarity >= threshold) is below `miss`.
 4. Survivors are confirmed on the full sets of words, and components found.
-5. Buckets whose members are still in several components have all their pairs across components compared, in blocks of
-   bounded size inside numpy; only survivors of the Bayesian bound leave a block and are confirmed as well. Pairs within
-   one component need no comparison, as a further link would change nothing.
+5. Buckets whose members are still in several components have their pairs across components compared the same way, in
+   blocks of bounded size inside numpy, likeliest first; sets are confirmed there by 64-bit hashes of all their
+   shingles. Pairs within one component need no comparison, as a further link would change nothing.
 
 At 27 bands of 5 rows a pair with similarity 0.85 fails to share a bucket with probability 2e-7 (2e-5 at 0.8).
 
@@ -185,17 +185,44 @@ def grouped(batches, keys: int):
         yield now, held
 
 
-def across(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """Surviving pairs across components of buckets (key, band, rep, component, n), compared in blocks of about BLOCK rows."""
+def bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, body (compressed text) of the documents with these ids. Other texts do not leave the scan but by chance."""
+    wanted = KeyFilter.of(ids)
+
+    def read(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            keys = b.column("id").fill_null(-1).to_numpy()
+            at = pa.array(np.flatnonzero(wanted.test(keys.view(np.uint64))))
+            some = pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("text").take(at)], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([pack(x) for x in raw_texts(some)], pa.binary())], ["id", "body"])
+
+    return map_batches(docs.select(F.col("doc_id").alias("id"), "text"), read, "id long, body binary").dropDuplicates(["id"])
+
+
+def across(members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links across components of buckets (key, band, rep, component, n), found in blocks of about BLOCK rows.
+
+    A link joins its components within the block, so a block gives fewer links than it has rows, and a document is
+    compared no more with those it is already joined to.
+    """
     blocks = members.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "band")
-    wide = dealt.join(classes.select("rep", "signature"), "rep").select("key", "i", "j", "block", "rep", "component", "band", "signature")
+    whole = classes.select("rep", "signature").join(bodies(docs, members.select("rep").distinct()).withColumnRenamed("id", "rep"), "rep")
+    wide = dealt.join(whole, "rep").select("key", "i", "j", "block", "rep", "component", "band", "signature", "body")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for (_, i, j), rows in grouped(batches, 3):
             block, rep, part = (np.array([r[c] for r in rows], np.int64) for c in range(3))
             band, sig = rows[0][3], np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
-            bands = sig.reshape(len(rows), rule.bands, rule.rows)
+            bands, sets, links = sig.reshape(len(rows), rule.bands, rule.rows), {}, []
+
+            def full(x):
+                if x not in sets:
+                    sets[x] = shingle_hashes(unpack(rows[x][5]), rule.words)
+                return sets[x]
+
             for x in range(len(rows)):
                 # each pair once: within a block the later rows, across blocks those of the other
                 ys = np.arange(x + 1, len(rows)) if i == j else np.flatnonzero(block == j) if block[x] == i else np.zeros(0, np.int64)
@@ -204,8 +231,15 @@ def across(members: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
                     ys = ys[~(bands[ys, :band] == bands[x, :band]).all(axis=2).any(axis=1)]
                 if len(ys):
                     ys = ys[not_pruned(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], rule)]
-                if len(ys):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[ys], rep[x])), pa.array(np.maximum(rep[ys], rep[x]))], ["a", "b"])
+                for y in ys[np.argsort(-(sig[ys] == sig[x]).sum(axis=1), kind="stable")].tolist():
+                    if part[x] != part[y]:
+                        both = len(np.intersect1d(full(x), full(y), assume_unique=True))
+                        if 100 * both >= rule.percent * (len(full(x)) + len(full(y)) - both):
+                            links.append((rep[x], rep[y]))
+                            part[part == part[y]] = part[x]
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return map_batches(wide.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long")
 
@@ -215,22 +249,12 @@ def shingle_set(raw: bytes, n: int) -> set:
     return set(zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else {tuple(words)} if words else set()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule, text: str, doc_id: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs that are linked by their full sets of words. Only texts that occur in a pair leave the scan."""
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = KeyFilter.of(ids)
-
-    def read(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            keys = b.column("id").fill_null(-1).to_numpy()
-            at = pa.array(np.flatnonzero(wanted.test(keys.view(np.uint64))))
-            some = pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("text").take(at)], ["id", "text"])
-            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([pack(x) for x in raw_texts(some)], pa.binary())], ["id", "body"])
-
-    bodies = map_batches(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")), read, "id long, body binary").dropDuplicates(["id"])
-    wide = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("bb")), "b").join(bodies.select(F.col("id").alias("a"), F.col("body").alias("ba")), "a")
+    texts = bodies(docs, ids)
+    wide = pairs.join(texts.select(F.col("id").alias("b"), F.col("body").alias("bb")), "b").join(texts.select(F.col("id").alias("a"), F.col("body").alias("ba")), "a")
 
     def run(batches):
         unpack, near = zstandard.ZstdDecompressor().decompress, OrderedDict()
@@ -270,13 +294,13 @@ def groups(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str
     # a doc_id with rows of different texts links their classes
     several = real.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").join(real.select("doc_id", "digest"), "doc_id")
     same = several.join(by_set, F.col("digest") == F.col("set")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).select("a", F.explode("all").alias("b")).where("a != b")
-    links = cut(confirmed(survivors(stars, classes, rule), docs, rule, "text", "doc_id").unionByName(same))
+    links = cut(confirmed(survivors(stars, classes, rule), docs, rule).unionByName(same))
     first = cut(components(links))
     parted = members.where("n > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = parted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = cut(across(parted.where(F.col("rep") != F.col("lead")).join(open_keys, "key", "left_semi"), classes, rule))
+    rest = cut(across(cut(parted.join(open_keys, "key", "left_semi")), classes, docs, rule))
     if not rest.isEmpty():
-        first = cut(components(links.unionByName(confirmed(rest, docs, rule, "text", "doc_id"))))
+        first = cut(components(links.unionByName(rest)))
     labels = classes.select("rep", "digest").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = rows.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     return named.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
