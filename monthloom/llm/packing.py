@@ -1,8 +1,8 @@
 """Packing along a space-filling curve.
 
-A document's terms (pieces of the vocabulary's splitter) are hashed to vectors of DIMENSIONS normal numbers, which is a random projection of
-its hashed bag of terms; their mean, scaled, is squeezed to a grid of 2 ** GRID cells a side, and the cell's place on the
-Hilbert curve is the document's key. Documents are range-partitioned and sorted by key (ties by a hash of the id, so that
+A document's token ids are hashed, and each hash is a row of DIMENSIONS uniform numbers: a random projection of the
+document's hashed bag of tokens. Their mean, scaled, is squeezed to a grid of 2 ** GRID cells a side, and the cell's place
+on the Hilbert curve is the document's key. Documents are range-partitioned and sorted by key (ties by a hash of the id, so that
 a group of copies splits over partitions) and laid end to end; every 1024 tokens are a sequence. What is left at the
 end of a partition is laid into sequences whose lengths are powers of two, so nothing is padded.
 
@@ -18,19 +18,18 @@ sequences. An empty table gives an empty result. Other columns are not read.
 from __future__ import annotations
 
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytebpe
-from .common import Memo, map_batches, raw_texts, stored
+from .common import map_batches, mix64, raw_texts, stored
 
 LENGTH, CLOSING = 1024, 0
-DIMENSIONS, GRID, SPREAD = 4, 15, 4.0
-KEPT_PIECES = 400_000
+DIMENSIONS, GRID, SPREAD = 4, 15, 6.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -62,81 +61,52 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def direction(term: bytes) -> np.ndarray:
-    """A term's row of the projection: four normal numbers from its hash."""
-    h = xxhash.xxh3_128_intdigest(term, seed=3)
-    u = np.array([(h >> (32 * i) & 0xFFFFFFFF) + 0.5 for i in range(4)]) / (1 << 32)
-    r, a = np.sqrt(-2 * np.log(u[:2])), 2 * np.pi * u[2:]
-    return np.concatenate([r * np.cos(a), r * np.sin(a)])
+#: Fixed value: the splitting pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class Terms:
-    """Pieces met so far by number: their ids end to end, and their projections. Starts anew when it holds too much."""
+class Encoder:
+    """Ids as the tokenizers library gives them, and projections of documents' hashed vectors of ids.
+
+    A vocabulary whose merges make ids in rising order can be run by tiktoken, which is four times as fast; texts with
+    characters outside bytebpe's compared ranges, and other vocabularies, go through the tokenizers library itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.vocab, self.library = bytebpe.load(path), Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.known, self.count = {}, 0
-        self.flat, self.size = np.zeros(1 << 16, np.uint16), 0
-        self.begin, self.long, self.where = (np.zeros(1 << 16, np.int64) for _ in range(3))
-        self.at = np.zeros((1 << 16, DIMENSIONS), np.float32)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Numbers for pieces that have none, by the library's merges of each piece alone."""
-        tokenize, of_byte = self.library.model.tokenize, self.vocab.of_byte
-        for p in pieces:
-            raw = p.encode()
-            ids = [of_byte[raw[0]]] if len(raw) == 1 else [t.id for t in tokenize("".join(map(LETTERS.__getitem__, raw)))]
-            self.add(p, ids, raw)
-
-    def add(self, piece: str, ids: list[int], raw: bytes) -> None:
-        k = self.count
-        if k == len(self.begin):
-            self.begin, self.long = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.long))
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        while self.size + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.size : self.size + len(ids)] = ids
-        self.begin[k], self.long[k], self.at[k] = self.size, len(ids), direction(raw.strip().lower())
-        self.size += len(ids)
-        self.known[piece] = k
-        self.count += 1
-
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        get = self.known.get
-        out = list(map(get, pieces))
-        if None in out:
-            self.learn(list({p for p, k in zip(pieces, out, strict=True) if k is None}))
-            out = list(map(self.known.__getitem__, pieces))
-        return np.array(out, np.int64)
-
-    def ids_and_mean(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids with the closing one, and the mean projection."""
-        if self.count > KEPT_PIECES:
-            self.clear()
-        special = self.vocab.split_special
-        parts = special.split(text) if special is not None and any(s in text for s in self.vocab.special) else [text]
-        out, total, n = [], np.zeros(DIMENSIONS), 0
-        for i, part in enumerate(parts):
-            if i % 2:
-                out.append(np.array([self.vocab.special[part]], np.uint16))
-            elif part:
-                at = self.numbers(self.vocab.pieces(part))
-                long = self.long[at]
-                ends = np.cumsum(long)
-                out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.begin[at] - ends + long, long)])
-                total += self.at[at].sum(axis=0)
-                n += len(at)
-        out.append(np.array([CLOSING], np.uint16))
-        return np.concatenate(out), total / max(n, 1)
-
-
-LETTERS = bytebpe.byte_letters()
-_terms: dict[str, Terms] = {}
+        self.vocab, self.library, self.fast = bytebpe.load(path), Tokenizer.from_file(path), None
+        self.library.no_truncation()
+        self.library.no_padding()
+        made = self.vocab.merged
+        if all(a < b for a, b in zip(made, made[1:], strict=False)) and max(self.vocab.of_byte) < made[0]:
+            import tiktoken
+
+            back = {c: b for b, c in bytebpe.byte_letters().items()}
+            ranks = {bytes(map(back.__getitem__, t)): i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t not in self.vocab.special}
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.vocab.special)
+        n = self.library.get_vocab_size(with_added_tokens=True)
+        self.at = mix64(np.arange(1, n + 1)).view(np.int16).reshape(n, DIMENSIONS) / np.float32(1 << 15)
+
+    def ids(self, text: str) -> np.ndarray:
+        """With the closing id."""
+        if self.fast is not None and bytebpe.UNSAFE.search(text) is None:
+            got = self.fast.encode_to_numpy(text, allowed_special="all")
+        else:
+            got = self.library.encode(text, add_special_tokens=False).ids
+        return np.append(np.asarray(got, np.uint32), np.uint32(CLOSING))
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of each text, and the mean projections of what comes before the closing ids."""
+        ids = [self.ids(t) for t in texts]
+        means = np.zeros((len(texts), DIMENSIONS))
+        for k, x in enumerate(ids):
+            if len(x) > 1:
+                means[k] = self.at[x[:-1]].mean(axis=0)
+        return ids, means
+
+
+_encoders: dict[str, Encoder] = {}
 
 
 def cell(mean: np.ndarray) -> np.ndarray:
@@ -145,23 +115,30 @@ def cell(mean: np.ndarray) -> np.ndarray:
     return np.clip(((1 + z / np.sqrt(1 + z * z)) / 2 * (1 << GRID)).astype(np.int64), 0, (1 << GRID) - 1)
 
 
+def max_id(vocabulary: str) -> int:
+    vocab = bytebpe.load(vocabulary)
+    return max([*vocab.merged, *vocab.of_byte, *vocab.special.values()])
+
+
 def encoded(docs: DataFrame, vocabulary: str, text: str, doc_id: str) -> DataFrame:
-    """doc_id, key, tie, ids (16-bit, little-endian)."""
+    """doc_id, key, ids (little-endian, of 16 bits where the vocabulary allows)."""
+
+    width = 2 if max_id(vocabulary) < 1 << 16 else 4
 
     def run(batches):
-        terms = _terms.setdefault(vocabulary, None) or Terms(vocabulary)
-        _terms[vocabulary] = terms
+        encoder = _encoders.get(vocabulary) or _encoders.setdefault(vocabulary, Encoder(vocabulary))
         for b in batches:
-            ids, means = [], np.zeros((len(b), DIMENSIONS))
-            for k, raw in enumerate(raw_texts(b)):
-                got, means[k] = terms.ids_and_mean(raw.decode())
-                ids.append(got.astype("<u2").tobytes())
+            raws, ids, means = raw_texts(b), [], np.zeros((len(b), DIMENSIONS))
+            for lo in range(0, len(raws), 64):
+                some = raws[lo : lo + 64]
+                got, means[lo : lo + len(some)] = encoder.encode([x.decode() for x in some])
+                ids += [x.astype(f"<u{width}").tobytes() for x in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hilbert(cell(means), GRID)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, key long, ids binary")
 
 
-def laid(batches):
+def laid(batches, width: int):
     """Pieces of the documents of one partition, in order."""
     from pyspark import TaskContext
 
@@ -178,7 +155,7 @@ def laid(batches):
 
     for b in batches:
         for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-            ids = np.frombuffer(raw, "<u2")
+            ids = np.frombuffer(raw, f"<u{width}")
             start = 0
             while start < len(ids):
                 part = ids[start : start + LENGTH - offset]
@@ -213,4 +190,4 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "do
     rows = stored(encoded(docs, vocabulary, text, doc_id), "encoded").withColumn("tie", F.xxhash64("doc_id"))
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["key", "tie", "doc_id"]
-    return map_batches(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids"), laid, PIECES)
+    return map_batches(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids"), partial(laid, width=2 if max_id(vocabulary) < 1 << 16 else 4), PIECES)
