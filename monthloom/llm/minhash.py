@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import KeyFilter, Memo, cut, map_batches, mix64, raw_texts, stored
 from .graph import components
 
-KEPT_WORDS, CHUNK, BLOCK = 1_000_000, 1 << 15, 256
+KEPT_WORDS, CHUNK, BLOCK = 500_000, 1 << 15, 256
 _words = Memo(xxhash.xxh3_64_intdigest, KEPT_WORDS)
 
 

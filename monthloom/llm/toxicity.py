@@ -30,7 +30,7 @@ from .licenses import words_of
 
 SAMPLE, FEATURES, BUCKETS, FACTORS = 24_000, 1024, 1 << 20, 8
 BEGINNINGS = (3, 4, 5, 6)
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 
 
 def terms(word: bytes) -> list[int]:
