@@ -95,7 +95,7 @@ def word_counts(docs: DataFrame, words: frozenset[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in map_batches(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases: dict[str, str] = PHRASES, percent: int = 90, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases: dict[str, str] = PHRASES, percent: int = 95, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     vocabulary = frozenset(w for ts in templates.values() for t in ts for w in words_of(t.encode()))

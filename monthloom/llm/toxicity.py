@@ -94,8 +94,8 @@ def telling(sample: DataFrame, features: int) -> dict[int, int]:
     return {r.bucket: i for i, r in enumerate(counts.orderBy(gap.desc(), "bucket").limit(features).collect())}
 
 
-def fitted(x: list[set[int]], y: np.ndarray, features: dict[int, int], epochs: int = 12, rate: float = 0.1, decay: float = 1e-5, seed: int = 5) -> Machine:
-    """AdaGrad on the logistic loss over shuffled batches; x: features present in each row."""
+def fitted(x: list[set[int]], y: np.ndarray, features: dict[int, int], updates: int = 3000, rate: float = 0.15, decay: float = 1e-5, seed: int = 5) -> Machine:
+    """AdaGrad on the logistic loss over shuffled batches, about `updates` of them; x: features present in each row."""
     rng, d = np.random.default_rng(seed), max(len(features), 1)
     share = (y.sum() + 1e-9) / (len(y) + 1e-9) if len(y) else 0.0
     machine = Machine(features, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(d), rng.normal(0, 0.01, (d, FACTORS)))
@@ -103,8 +103,8 @@ def fitted(x: list[set[int]], y: np.ndarray, features: dict[int, int], epochs: i
         machine.v[:] = 0
         return machine
     g0, gw, gv = 1e-8, np.full(d, 1e-8), np.full((d, FACTORS), 1e-8)
-    size = 256
-    for _ in range(epochs):
+    size = 128
+    for _ in range(-(-updates // -(-len(y) // size))):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), size):
             rows = order[lo : lo + size]
