@@ -1 +1,214 @@
-"""x"""
+"""Queries on factor, national and news forecasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import tidy
+from ..operators import baselines as B
+from ..operators import factors as A
+from ..operators import national as N
+from ..operators import news, ridge
+from ..operators import panel as P
+from .ctes import BASE, DENSE, OBS
+from .ctes import tidy as t
+from .registry import query
+from .relational import pairs
+
+ORIGINS = (15, 18, 21)
+CASES = [(c, h) for c, h in B.CASES if c in ORIGINS]
+CASE_ROWS = ", ".join(f"({c}, {h})" for c, h in CASES)
+VALUE = lambda x: f"greatest(exp({x}) - 1, 0)"
+
+FACTORS = f"""{OBS}, {DENSE}, o(c) AS (VALUES (15), (18), (21)), fc(c, h) AS (VALUES {CASE_ROWS}),
+visible AS (SELECT d.*, o.c FROM dense d JOIN o ON d.t < o.c),
+means AS (SELECT territory_id, category, c, avg(y) AS m FROM visible GROUP BY ALL HAVING count(y) > 0),
+zs AS (SELECT v.territory_id, v.category, v.c, v.t, ln(coalesce(last_value(v.y IGNORE NULLS) OVER (PARTITION BY v.territory_id, v.category, v.c ORDER BY v.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), m) + 1) AS z FROM visible v JOIN means USING (territory_id, category, c)),
+fs AS (SELECT category, c, t, median(z) AS f FROM zs GROUP BY ALL),
+ds AS (SELECT zs.*, f, z - f AS d FROM zs JOIN fs USING (category, c, t))"""
+
+
+@query(f"WITH {FACTORS} SELECT category, c, t, {t('f', 6)} AS f FROM fs")
+def panel_factor(spark, d):
+    return A.decomposed(P.order_panel(spark, d), list(ORIGINS)).select("category", "c", "t", tidy("f", 6).alias("f")).distinct()
+
+
+@query(f"WITH {FACTORS} SELECT territory_id, category, c, t, {t('d', 6)} AS d FROM ds WHERE c = 18")
+def factor_residuals(spark, d):
+    return A.decomposed(P.order_panel(spark, d), [18]).select(*P.SERIES, "c", "t", tidy("d", 6).alias("d"))
+
+
+def _growth_sql(k: int) -> str:
+    return f"g{k} AS (SELECT a.category, a.c, coalesce(quantile_cont(a.f - b.f, 0.5), 0) AS g FROM fs a LEFT JOIN fs b ON a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - {k} GROUP BY ALL)"
+
+
+def _candidates(k: int) -> None:
+    def run(spark, d):
+        return A.panel_candidates(P.order_panel(spark, d), CASES, k).select(*P.SERIES, "c", "h", tidy("common", 3).alias("common"))
+
+    run.__name__ = f"panel_candidates_k{k}"
+    query(f"""WITH {FACTORS}, {_growth_sql(k)}, l AS (SELECT territory_id, category, c, median(d) AS l FROM ds WHERE t >= c - 3 GROUP BY ALL)
+    SELECT l.territory_id, l.category, l.c, fc.h, {t(VALUE('fs.f + g + l'), 3)} AS common FROM l JOIN g{k} USING (category, c) JOIN fc USING (c) JOIN fs ON fs.category = l.category AND fs.c = l.c AND fs.t = l.c + fc.h - 13""")(run)
+
+
+_candidates(3)
+_candidates(6)
+
+MEMBERS = f"""{FACTORS}, tail AS (SELECT a.*, a.z - b.z AS zy, a.f - b.f AS fy FROM ds a LEFT JOIN ds b ON a.territory_id = b.territory_id AND a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - 3),
+per AS (SELECT territory_id, category, c, arg_max(d, t) AS dl, median(d) AS d3, least(greatest(coalesce(quantile_cont(zy, 0.5), 0), -0.2), 0.7) AS own, least(greatest(coalesce(quantile_cont(fy, 0.5), 0), -0.2), 0.7) AS g FROM tail GROUP BY ALL),
+mem AS (SELECT p.territory_id, p.category, p.c, fc.h, {VALUE('s.z')} AS seasonal, {VALUE('s.z + g')} AS pooled_growth, {VALUE('s.z + 0.75 * g + 0.25 * own')} AS shrink_growth, {VALUE('s.f + g + 0.7 * dl + 0.3 * d3')} AS factor_state,
+  {VALUE('s.f + g + pow(0.8, fc.h) * (0.7 * dl + 0.3 * d3) + (1 - pow(0.8, fc.h)) * s.d')} AS factor_damped
+  FROM per p JOIN fc USING (c) JOIN ds s ON s.territory_id = p.territory_id AND s.category = p.category AND s.c = p.c AND s.t = p.c + fc.h - 13)"""
+
+
+@query(f"WITH {MEMBERS} SELECT territory_id, category, c, h, {', '.join(f'{t(m, 3)} AS {m}' for m in A.MEMBERS)} FROM mem")
+def v4_members(spark, d):
+    return A.members(P.order_panel(spark, d), CASES).select(*P.SERIES, "c", "h", *[tidy(m, 3).alias(m) for m in A.MEMBERS])
+
+
+MIX = f"""{BASE}, losses AS (SELECT category, h, model, c AS origin, target, avg(abs(predicted - actual)) AS loss FROM long GROUP BY ALL), asked AS (SELECT DISTINCT category, h, model, c FROM long),
+lj AS (SELECT a.*, CASE WHEN l.target < a.c THEN l.loss END AS loss, CASE WHEN l.target < a.c THEN l.target END AS seen_target FROM asked a LEFT JOIN losses l USING (category, h, model)),
+lr AS (SELECT *, row_number() OVER (PARTITION BY category, h, model, c ORDER BY seen_target DESC NULLS LAST) AS r FROM lj),
+lw AS (SELECT category, h, model, c, CASE WHEN count(loss) < 3 THEN 1.0 ELSE 1 / pow(greatest(avg(loss), 1), 2) END AS w FROM lr WHERE r <= 6 GROUP BY ALL),
+weights AS (SELECT category, h, model, c, w / sum(w) OVER (PARTITION BY category, h, c) AS weight FROM lw),
+mixed AS (SELECT territory_id, category, c, h, target, actual, sum(weight * predicted) AS online_mix FROM long JOIN weights USING (category, h, model, c) GROUP BY ALL)"""
+
+
+@query(f"WITH {MIX} SELECT category, h, c, model, {t('weight', 8)} AS weight FROM weights")
+def mixture_weights(spark, d):
+    return A.mixture(B.long(pairs(spark, d))).withColumn("weight", tidy("weight", 8))
+
+
+@query(f"WITH {MIX} SELECT territory_id, category, c, h, {t('online_mix')} AS online_mix FROM mixed")
+def online_mix(spark, d):
+    return A.online_mix(B.long(pairs(spark, d))).select(*P.SERIES, "c", "h", tidy("online_mix").alias("online_mix"))
+
+
+@query(f"""WITH {MIX}, both_models AS (SELECT m.*, p.seasonal_scaled AS base FROM mixed m JOIN paired p USING (territory_id, category, c, h) WHERE h = 1),
+gl AS (SELECT category, c, avg(abs(base - actual)) AS lb, avg(abs(online_mix - actual)) AS lm FROM both_models GROUP BY ALL),
+gate AS (SELECT category, c, coalesce(count(lb) OVER w >= 3 AND avg(lm) OVER w <= 0.98 * avg(lb) OVER w, FALSE) AS open FROM gl WINDOW w AS (PARTITION BY category ORDER BY c ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT territory_id, category, c, open, {t('CASE WHEN open THEN (base + online_mix) / 2 ELSE base END')} AS safe FROM both_models JOIN gate USING (category, c)""")
+def safe_mix(spark, d):
+    base = pairs(spark, d).where("h = 1")
+    rows = A.online_mix(B.long(base)).join(base.select(*P.SERIES, "c", F.col("seasonal_scaled").alias("base")), [*P.SERIES, "c"])
+    return A.safe_mix(rows, "base", "online_mix").select(*P.SERIES, "c", "open", tidy("safe").alias("safe"))
+
+
+NATIONAL = """nat1 AS (SELECT c_mktsegment AS field, (year(o_orderdate) - 1999) * 12 + month(o_orderdate) - 1 AS m, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (100.0 * count(*)) AS v
+  FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY' AND (year(o_orderdate) - 1999) * 12 + month(o_orderdate) - 1 BETWEEN -48 AND 23 GROUP BY 1, 2),
+nat AS (SELECT * FROM nat1 UNION ALL SELECT 'total', m, CAST(sum(CAST(round(v * 100) AS BIGINT)) AS DOUBLE) / 100.0 FROM nat1 GROUP BY m)"""
+
+
+def _grown(lag: int) -> str:
+    return f"""{NATIONAL}, no(c) AS (VALUES (3), (9), (12), (15), (18), (21)), seen AS (SELECT n.*, no.c FROM nat n JOIN no ON n.m < no.c - {lag} + 1),
+yoy AS (SELECT a.field, a.c, a.m, ln(a.v / b.v) AS g, row_number() OVER (PARTITION BY a.field, a.c ORDER BY a.m DESC) AS r FROM seen a JOIN seen b ON a.field = b.field AND a.c = b.c AND a.m = b.m + 12),
+grown AS (SELECT field, c, least(greatest(median(g), -0.1), 0.5) AS g FROM yoy WHERE r <= 3 GROUP BY ALL),
+ends AS (SELECT field, c, max(m) AS last_m FROM seen GROUP BY ALL),
+carried AS (SELECT s.field, s.c, q.m, s.v * exp(g * q.k) AS v FROM (SELECT field, c, last_m, g, unnest(range(-48, c + 12)) AS m FROM ends JOIN grown USING (field, c)) e
+  JOIN LATERAL (SELECT e.m AS m, CASE WHEN e.m <= e.last_m THEN 0 ELSE CAST(ceil((e.m - e.last_m) / 12.0) AS INTEGER) END AS k) q ON TRUE JOIN seen s ON s.field = e.field AND s.c = e.c AND s.m = q.m - 12 * q.k)"""
+
+
+NAT_ORIGINS = [3, 9, 12, 15, 18, 21]
+NAT_CASES = [(3, 12), (9, 12), (12, 1), (12, 3), (12, 12), (15, 1), (18, 1), (18, 6), (21, 1), (21, 3)]
+
+
+@query(f"WITH {NATIONAL} SELECT field, m, {t('v')} AS v FROM nat")
+def national_series(spark, d):
+    return N.national(spark, d).select("field", "m", tidy("v").alias("v"))
+
+
+@query(f"WITH {_grown(1)} SELECT field, c, {t('g', 8)} AS g FROM grown")
+def national_growth(spark, d):
+    return N.growth(N.national(spark, d), NAT_ORIGINS, 1).withColumn("g", tidy("g", 8))
+
+
+@query(f"WITH {_grown(2)} SELECT field, c, m, {t('v', 3)} AS v FROM carried")
+def national_carried_lag2(spark, d):
+    return N.carried(N.national(spark, d), NAT_ORIGINS, 2).withColumn("v", tidy("v", 3))
+
+
+def _levels(lag: int) -> str:
+    rows = ", ".join(f"({c}, {h})" for c, h in NAT_CASES)
+    return f"""{OBS}, {DENSE}, {_grown(lag)}, nc(c, h) AS (VALUES {rows}),
+nk AS (SELECT territory_id, category, no.c FROM obs JOIN no ON obs.t < no.c GROUP BY ALL),
+nz AS (SELECT d.territory_id, d.category, k.c, d.t, greatest(coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY d.territory_id, d.category, k.c ORDER BY d.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(y IGNORE NULLS) OVER (PARTITION BY d.territory_id, d.category, k.c ORDER BY d.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 1) AS z FROM dense d JOIN nk k ON d.territory_id = k.territory_id AND d.category = k.category AND d.t < k.c),
+ref AS (SELECT c, m AS t, v FROM carried WHERE field = 'total'),
+ntail AS (SELECT a.*, r.v, ln(a.z / b.z) AS own FROM nz a JOIN ref r USING (c, t) LEFT JOIN nz b ON a.territory_id = b.territory_id AND a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - 3),
+np AS (SELECT territory_id, category, c, arg_max(z, t) AS last, arg_max(z / v, t) AS r1, median(z / v) AS r3, quantile_cont(own, 0.5) AS own FROM ntail GROUP BY ALL),
+pool AS (SELECT category, c, quantile_cont(own, 0.5) AS pooled FROM np GROUP BY ALL),
+lv AS (SELECT np.territory_id, np.category, np.c, nc.h, r1 * ref.v AS level1, r3 * ref.v AS level3, CASE WHEN s.z IS NULL OR own IS NULL THEN r3 * ref.v ELSE s.z * exp(least(greatest(0.75 * pooled + 0.25 * own, -0.2), 0.7)) END AS seasonal, last * exp(g * nc.h / 12) AS national_growth
+  FROM np JOIN pool USING (category, c) JOIN nc USING (c) JOIN ref ON ref.c = np.c AND ref.t = np.c + nc.h - 1 JOIN grown ON grown.c = np.c AND grown.field = 'total'
+  LEFT JOIN nz s ON s.territory_id = np.territory_id AND s.category = np.category AND s.c = np.c AND s.t = np.c + nc.h - 13),
+levels AS (SELECT *, (seasonal + (level1 + level3) / 2) / 2 AS local_blend FROM lv)"""
+
+
+LEVELS = ("level1", "level3", "seasonal", "local_blend", "national_growth")
+
+
+def _register_levels(name: str, lag: int) -> None:
+    def run(spark, d):
+        return N.level_forecasts(P.order_panel(spark, d), N.national(spark, d), NAT_CASES, lag).select(*P.SERIES, "c", "h", *[tidy(c, 3).alias(c) for c in LEVELS])
+
+    run.__name__ = name
+    query(f"WITH {_levels(lag)} SELECT territory_id, category, c, h, {', '.join(f'{t(c, 3)} AS {c}' for c in LEVELS)} FROM levels")(run)
+
+
+_register_levels("national_levels", 1)
+_register_levels("lag2_sensitivity", 2)
+
+
+@query(f"WITH {_levels(1)} SELECT territory_id, category, c, h, {t('level3', 3)} AS level3, {t('national_growth', 3)} AS national_growth FROM levels WHERE h = 12 AND c IN (3, 9)")
+def annual_short_prefix(spark, d):
+    rows = N.level_forecasts(P.order_panel(spark, d), N.national(spark, d), [(3, 12), (9, 12)], 1)
+    return rows.select(*P.SERIES, "c", "h", tidy("level3", 3).alias("level3"), tidy("national_growth", 3).alias("national_growth"))
+
+
+RECENT = """lnz AS (SELECT territory_id, category, c, t, ln(z) AS z FROM nz), lf AS (SELECT category, c, t, median(z) AS f FROM lnz GROUP BY ALL),
+recent AS (SELECT l.territory_id, l.category, l.c, nc.h, exp(s.f + e.f - b.f + l.z - e.f) AS panel_recent FROM lnz l JOIN nc USING (c) JOIN lf e ON e.category = l.category AND e.c = l.c AND e.t = l.c - 1
+  JOIN lf b ON b.category = l.category AND b.c = l.c AND b.t = l.c - 13 JOIN lf s ON s.category = l.category AND s.c = l.c AND s.t = l.c + nc.h - 13 WHERE l.t = l.c - 1)"""
+
+
+@query(f"WITH {_levels(1)}, {RECENT} SELECT territory_id, category, c, h, {t('panel_recent', 3)} AS panel_recent FROM recent")
+def panel_recent(spark, d):
+    return N.panel_recent(P.order_panel(spark, d), NAT_CASES).where("panel_recent IS NOT NULL").select(*P.SERIES, "c", "h", tidy("panel_recent", 3).alias("panel_recent"))
+
+
+@query(f"""WITH {_levels(1)}, {RECENT} SELECT l.territory_id, l.category, l.c, l.h,
+{t("CASE WHEN l.h = 12 THEN level3 WHEN l.h IN (3, 6) THEN seasonal ELSE (seasonal + coalesce(panel_recent, local_blend) + local_blend) / 3 END", 3)} AS final FROM levels l LEFT JOIN recent USING (territory_id, category, c, h)""")
+def v5_forecast(spark, d):
+    panel = P.order_panel(spark, d)
+    parts = N.level_forecasts(panel, N.national(spark, d), NAT_CASES, 1).withColumn("base", F.col("seasonal")).join(N.panel_recent(panel, NAT_CASES), [*P.SERIES, "c", "h"], "left")
+    return N.combined(parts).select(*P.SERIES, "c", "h", tidy("final", 3).alias("final"))
+
+
+EVENTS = "ev(event_id, available, rate, delta) AS (VALUES " + ", ".join(f"('{i}', DATE '{a}', {r}, {x})" for i, a, r, x in news.EVENTS) + ")"
+
+
+@query(f"""WITH {EVENTS}, dates AS (SELECT DISTINCT CAST(date_trunc('month', o_orderdate) AS DATE) AS as_of FROM orders WHERE year(o_orderdate) IN (1999, 2000)),
+j AS (SELECT d.as_of, e.*, e.available >= d.as_of - 90 AS recent FROM dates d LEFT JOIN ev e ON e.available < d.as_of)
+SELECT as_of, coalesce(arg_max(rate, (available, event_id)) / 25, 0) AS rate, coalesce(sum(delta) FILTER (WHERE recent) / 10, 0) AS moved, count(*) FILTER (WHERE recent AND delta <> 0) / 5.0 AS moves,
+  {t("CASE WHEN max(available) IS NULL THEN 0 ELSE least(as_of - max(available), 365) / 365.0 END", 6)} AS age FROM j GROUP BY as_of""")
+def asof_news_features(spark, d):
+    dates = spark.read.parquet(f"{d}/orders.parquet").where(F.year("o_orderdate").isin(1999, 2000)).select(F.trunc("o_orderdate", "month").alias("as_of")).distinct()
+    return news.features(dates, news.events(spark)).withColumn("age", tidy("age", 6))
+
+
+@query(f"WITH {BASE} SELECT territory_id, category, c, h, {t('CASE WHEN h = 12 THEN damped_trend WHEN c < 18 THEN seasonal_scaled ELSE 0.25 * damped_trend + 0.75 * seasonal_scaled END')} AS predicted FROM paired")
+def release_rule(spark, d):
+    from ..operators.policy import blend
+
+    rule = F.when(F.col("h") == 12, F.col("damped_trend")).when(F.col("c") < 18, F.col("seasonal_scaled")).otherwise(blend("damped_trend", "seasonal_scaled", 0.25))
+    return pairs(spark, d).select(*P.SERIES, "c", "h", tidy(rule).alias("predicted"))
+
+
+@query()
+def ridge_forecast(spark, d):
+    """Rows only: fitted by pyspark.ml; parity with the closed form is tested."""
+    return ridge.forecasts(P.order_panel(spark, d), [(18, 1), (18, 3), (21, 1)]).select(*P.SERIES, "c", "h", tidy("predicted", 2).alias("predicted"))
+
+
+@query()
+def early_growth(spark, d):
+    """Rows only: penalised least squares by category; tested against the closed form."""
+    return A.early_growths(A.decomposed(P.order_panel(spark, d), [12])).withColumn("growth", tidy("growth", 6))
