@@ -254,3 +254,40 @@ def bootstrap_draws(spark, d):
     from ..operators.bootstrap import cluster_draws
 
     return cluster_draws(pairs(spark, d), "territory_id", F.abs(F.col("seasonal_scaled") - F.col("actual")), F.abs(F.col("last_value") - F.col("actual")), DRAWS).select("draw", tidy("difference").alias("difference"))
+
+
+DELAYED = BASE.replace("cases(c, h) AS (VALUES ", "cases(c, h) AS (SELECT c - 1, h + 1 FROM (VALUES ").replace("(23, 1))", "(23, 1)) v(c, h))")
+
+
+@query(f"WITH {DELAYED} SELECT territory_id, category, c + 1 AS c, h - 1 AS h, {t('seasonal_scaled')} AS predicted FROM wide")
+def delay_sensitivity(spark, d):
+    from ..operators.export import delayed
+
+    return delayed(P.order_panel(spark, d), B.CASES).select(*P.SERIES, "c", "h", tidy("seasonal_scaled").alias("predicted"))
+
+
+EXPORT = BASE.replace(BASE[BASE.index("cases(c, h)") : BASE.index("ratios AS")], "cases(c, h) AS (VALUES (24, 1), (24, 3), (24, 6), (24, 12)),\n")
+
+
+@query(f"""WITH {EXPORT} SELECT territory_id, category, h, {t('seasonal_scaled')} AS predicted, CASE WHEN h = 12 THEN 'diagnostic' WHEN n < 24 THEN 'incomplete' ELSE 'ok' END AS status
+FROM wide JOIN (SELECT territory_id, category, count(*) AS n FROM obs GROUP BY ALL) s USING (territory_id, category)""")
+def export_forecasts(spark, d):
+    from ..operators.export import export
+
+    return export(P.order_panel(spark, d)).select(*P.SERIES, "h", tidy("predicted").alias("predicted"), "status")
+
+
+@query()
+def boosted_factor(spark, d):
+    """Rows only: boosted trees are an approximation; tested for repeatability and bounds."""
+    from ..operators.adapters import boosted
+
+    return boosted(P.order_panel(spark, d), 18, 1).select(*P.SERIES, tidy("predicted", 2).alias("predicted"))
+
+
+@query()
+def season_adapted(spark, d):
+    """Rows only: the wrapper around a registered forecaster; tested on plain arrays."""
+    from ..operators.adapters import forecast
+
+    return forecast(P.order_panel(spark, d), "last", 18, 3, adapted=True).select(*P.SERIES, tidy("predicted", 2).alias("predicted"))
