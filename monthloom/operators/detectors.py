@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import array_mad, array_median, clip
 from .panel import SERIES, dense
 
-W = Window.partitionBy(*SERIES).orderBy("t")
+
+def in_order() -> Window:
+    return Window.partitionBy(*SERIES).orderBy("t")
 
 
 def innovations(panel: DataFrame, months: int = 24) -> DataFrame:
@@ -25,8 +27,8 @@ def innovations(panel: DataFrame, months: int = 24) -> DataFrame:
     median and the deviation (at least .03) of the twelve errors before, once there are six, and kept within 12.
     """
     x = dense(panel, months).withColumn("x", F.log(F.col("y") + 1))
-    before = W.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("x12", F.lag("x", 12).over(W)).withColumn("change", F.col("x") - F.col("x12"))
+    before = in_order().rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("x12", F.lag("x", 12).over(in_order())).withColumn("change", F.col("x") - F.col("x12"))
     x = x.withColumn("seen", F.collect_list(F.when(F.col("x").isNotNull(), F.struct("t", "x"))).over(before)).withColumn("changes", F.slice(F.reverse(F.collect_list("change").over(before)), 1, 6))
     last = F.slice(F.reverse("seen"), 1, 6)
     x = x.withColumn("last6", last).withColumn("n", F.size("seen"))
@@ -153,9 +155,9 @@ def change_scores(panel: DataFrame, width: int, months: int = 24) -> DataFrame:
     """
     x = dense(panel, months).withColumn("x", F.log(F.col("y") + 1))
     f = x.groupBy("category", "t").agg(F.median("x").alias("f"))
-    r = x.join(f, ["category", "t"]).withColumn("r", F.col("x") - F.col("f")).withColumn("diff", F.col("r") - F.lag("r").over(W))
-    r = r.withColumn("diffs", F.collect_list("diff").over(W.rowsBetween(Window.unboundedPreceding, -width)))
-    r = r.withColumn("ref", F.collect_list("r").over(W.rowsBetween(-width - 5, -width))).withColumn("recent", F.collect_list("r").over(W.rowsBetween(-width + 1, 0)))
+    r = x.join(f, ["category", "t"]).withColumn("r", F.col("x") - F.col("f")).withColumn("diff", F.col("r") - F.lag("r").over(in_order()))
+    r = r.withColumn("diffs", F.collect_list("diff").over(in_order().rowsBetween(Window.unboundedPreceding, -width)))
+    r = r.withColumn("ref", F.collect_list("r").over(in_order().rowsBetween(-width - 5, -width))).withColumn("recent", F.collect_list("r").over(in_order().rowsBetween(-width + 1, 0)))
     shifts = F.transform("recent", lambda v: v - array_median(F.col("ref")))
     same = F.forall(shifts, lambda v: v > 0) | F.forall(shifts, lambda v: v < 0)
     whole = (F.col("t") >= 12) & (F.size("ref") == 6) & (F.size("recent") == width) & (F.size("diffs") > 0)

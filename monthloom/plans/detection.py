@@ -148,7 +148,7 @@ SCORED = f"""{INJECTED}, cy AS (SELECT i.territory_id, i.kind, i.change, i.t, ln
 oy AS (SELECT a.territory_id, a.t, ln(a.y + 1) - ln(b.y + 1) AS ch FROM whole a JOIN whole b ON a.territory_id = b.territory_id AND a.t = b.t + 12), of1 AS (SELECT t, median(ch) AS factor FROM oy GROUP BY t),
 os AS (SELECT t, any_value(factor) AS factor, greatest(1.4826 * median(abs(ch - factor)), 0.03) AS spread FROM oy JOIN of1 USING (t) GROUP BY t),
 cz AS (SELECT territory_id, kind, change, t, abs((change12 - factor) / spread) AS score FROM cy JOIN os USING (t)),
-th AS (SELECT unnest([{', '.join(map(str, GRID))}]) AS threshold),
+th AS (SELECT unnest(CAST([{', '.join(map(str, GRID))}] AS DOUBLE[])) AS threshold),
 hits AS (SELECT threshold, territory_id, kind, t, row_number() OVER (PARTITION BY threshold, territory_id, kind ORDER BY t) AS r FROM cz, th WHERE score >= threshold),
 greedy AS (SELECT threshold, territory_id, kind, r, t, t AS last, TRUE AS kept FROM hits WHERE r = 1
   UNION ALL SELECT h.threshold, h.territory_id, h.kind, h.r, h.t, CASE WHEN h.t - g.last > 3 THEN h.t ELSE g.last END, h.t - g.last > 3 FROM greedy g JOIN hits h ON h.threshold = g.threshold AND h.territory_id = g.territory_id AND h.kind = g.kind AND h.r = g.r + 1),
