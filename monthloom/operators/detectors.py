@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import array_mad, array_median, clip
+from ..functions import array_mad, array_median, clip, let
 from .panel import SERIES, dense
 
 
@@ -61,15 +61,19 @@ def _fold(zs: str, step, empty: Column, score_of, cooldown: int = 3) -> Column:
 
     def moved(a: Column, p: Column) -> Column:
         t, z = p["t"].cast("int"), p["z"]
-        s = step(a["s"], z)
-        score, direction = score_of(s)
-        alarm = (score >= 1) & (t - a["last"] > cooldown)
-        seen = F.struct(t.alias("t"), score.alias("score"), (score >= 0.7).alias("warning"), alarm.alias("alarm"), direction.cast("int").alias("direction"))
+
+        def scored(s: Column) -> Column:
+            score, direction = score_of(s)
+            return let(F.struct(score.alias("score"), direction.cast("int").alias("direction")), lambda q: after(s, q))
+
+        def after(s: Column, q: Column) -> Column:
+            alarm = (q["score"] >= 1) & (t - a["last"] > cooldown)
+            seen = F.struct(t.alias("t"), q["score"].alias("score"), (q["score"] >= 0.7).alias("warning"), alarm.alias("alarm"), q["direction"].alias("direction"))
+            return F.struct(F.when(alarm, empty).otherwise(s).alias("s"), F.when(alarm, t).otherwise(a["last"]).alias("last"), F.concat(a["out"], F.array(seen)).cast(row).alias("out"))
+
         missing = F.struct(t.alias("t"), F.lit(0.0).alias("score"), F.lit(False).alias("warning"), F.lit(False).alias("alarm"), F.lit(0).alias("direction"))
-        return F.struct(
-            F.when(z.isNull(), a["s"]).when(alarm, empty).otherwise(s).alias("s"), F.when(z.isNotNull() & alarm, t).otherwise(a["last"]).alias("last"),
-            F.concat(a["out"], F.array(F.when(z.isNull(), missing).otherwise(seen))).cast(row).alias("out"),
-        )
+        kept = F.struct(a["s"].alias("s"), a["last"].alias("last"), F.concat(a["out"], F.array(missing)).cast(row).alias("out"))
+        return F.when(z.isNull(), kept).otherwise(let(step(a["s"], z), scored))
 
     return F.aggregate(zs, start, moved, lambda a: a["out"])
 
@@ -113,10 +117,8 @@ def robust(z: DataFrame, method: str, threshold: float) -> DataFrame:
         if method == "median3":
             v = F.when(n >= 3, array_median(F.slice(w, -F.least(F.lit(3), n), F.lit(3))) * math.sqrt(3)).otherwise(0.0)
         else:
-            v = F.lit(0.0)
-            for k in range(2, 7):
-                part = F.when(n >= k, F.aggregate(F.slice(w, -F.least(F.lit(k), n), F.lit(k)), F.lit(0.0), lambda a, x: a + x) / math.sqrt(k)).otherwise(0.0)
-                v = F.when(F.abs(part) > F.abs(v), part).otherwise(v)
+            sums = [F.when(n >= k, F.aggregate(F.slice(w, -F.least(F.lit(k), n), F.lit(k)), F.lit(0.0), lambda a, x: a + x) / math.sqrt(k)).otherwise(0.0) for k in range(2, 7)]
+            v = F.aggregate(F.array(*sums), F.lit(0.0), lambda a, x: F.when(F.abs(x) > F.abs(a), x).otherwise(a))
         return F.abs(v) / threshold, F.when(v >= 0, 1).otherwise(-1)
 
     arrays = z.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("t", "z"))).alias("zs"))
