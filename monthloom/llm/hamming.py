@@ -142,7 +142,7 @@ def nearest_codes(index: DataFrame, queries: DataFrame, k: int, bits: int) -> Da
     if not names:
         return index.sparkSession.createDataFrame([], FOUND)
     blocks = queries.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
-    pairs = index.withColumn("q", F.explode(F.array(*map(F.lit, names)))).join(blocks, "q")
+    pairs = index.withColumn("q", F.explode(F.array(*map(F.lit, names)))).join(blocks, "q").repartition(max(8, len(names)), "block", "q")
     return map_batches(pairs.select("block", "ids", "codes", "q_ids", "q_codes"), run, FOUND)
 
 
