@@ -89,7 +89,7 @@ def ewma(z: DataFrame, threshold: float, weight: float = 0.3) -> DataFrame:
     """Exponentially weighted mean over its deviation."""
     scale = math.sqrt(weight / (2 - weight)) * threshold
     empty = F.struct(F.lit(0.0).alias("m"))
-    return folded(z, lambda s, z: F.struct((weight * z + (1 - weight) * s["m"]).alias("m")), empty, lambda s: (F.abs(s["m"]) / scale, F.when(s["m"] >= 0, 1).otherwise(-1)))
+    return folded(z, lambda s, z: F.struct((weight * z + (1 - weight) * s["m"]).alias("m")), empty, lambda s: (F.abs(s["m"]) / scale, F.signum(s["m"])))
 
 
 def window_mean(z: DataFrame, threshold: float, width: int = 3) -> DataFrame:
@@ -99,7 +99,7 @@ def window_mean(z: DataFrame, threshold: float, width: int = 3) -> DataFrame:
 
     def score(s):
         m = F.aggregate(s["w"], F.lit(0.0), lambda a, x: a + x) / F.size(s["w"])
-        return F.abs(m) * F.sqrt(F.size(s["w"])) / threshold, F.when(m >= 0, 1).otherwise(-1)
+        return F.abs(m) * F.sqrt(F.size(s["w"])) / threshold, F.signum(m)
 
     return folded(z, step, empty, score)
 
@@ -119,18 +119,18 @@ def robust(z: DataFrame, method: str, threshold: float) -> DataFrame:
         else:
             sums = [F.when(n >= k, F.aggregate(F.slice(w, -F.least(F.lit(k), n), F.lit(k)), F.lit(0.0), lambda a, x: a + x) / math.sqrt(k)).otherwise(0.0) for k in range(2, 7)]
             v = F.aggregate(F.array(*sums), F.lit(0.0), lambda a, x: F.when(F.abs(x) > F.abs(a), x).otherwise(a))
-        return F.abs(v) / threshold, F.when(v >= 0, 1).otherwise(-1)
+        return F.abs(v) / threshold, F.signum(v)
 
     arrays = z.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("t", "z"))).alias("zs"))
     return arrays.withColumn("out", _fold("zs", step, empty, score, cooldown=6)).select(*SERIES, F.explode("out").alias("o")).select(*SERIES, "o.*")
 
 
 def factor_and_spread(panel: DataFrame) -> DataFrame:
-    """category, t, factor, spread: median and deviation (at least .03) of the yearly log changes across series."""
+    """category, t, factor, spread: median and deviation (at least .02) of the yearly log changes across series."""
     c = yearly(panel)
     f = c.groupBy("category", "t").agg(F.median("change").alias("factor"))
     away = c.join(f, ["category", "t"]).withColumn("away", F.abs(F.col("change") - F.col("factor")))
-    return away.groupBy("category", "t").agg(F.first("factor").alias("factor"), F.greatest(1.4826 * F.median("away"), F.lit(0.03)).alias("spread"))
+    return away.groupBy("category", "t").agg(F.first("factor").alias("factor"), F.greatest(1.4826 * F.median("away"), F.lit(0.02)).alias("spread"))
 
 
 def yearly(panel: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def change_scores(panel: DataFrame, width: int, months: int = 24) -> DataFrame:
     x = dense(panel, months).withColumn("x", F.log(F.col("y") + 1))
     f = x.groupBy("category", "t").agg(F.median("x").alias("f"))
     r = x.join(f, ["category", "t"]).withColumn("r", F.col("x") - F.col("f")).withColumn("diff", F.col("r") - F.lag("r").over(in_order()))
-    r = r.withColumn("diffs", F.collect_list("diff").over(in_order().rowsBetween(Window.unboundedPreceding, -width)))
+    r = r.withColumn("diffs", F.collect_list("diff").over(in_order().rowsBetween(Window.unboundedPreceding, -1)))
     r = r.withColumn("ref", F.collect_list("r").over(in_order().rowsBetween(-width - 5, -width))).withColumn("recent", F.collect_list("r").over(in_order().rowsBetween(-width + 1, 0)))
     shifts = F.transform("recent", lambda v: v - array_median(F.col("ref")))
     same = F.forall(shifts, lambda v: v > 0) | F.forall(shifts, lambda v: v < 0)

@@ -6,7 +6,7 @@ changes, within bounds; a later month's value is the latest seen month of the sa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clip
@@ -25,7 +25,7 @@ def national(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seen(series: DataFrame, origins: list[int], lag: int) -> DataFrame:
-    return series.withColumn("c", F.explode(F.array(*map(F.lit, origins)))).where(F.col("m") < F.col("c") - lag + 1)
+    return series.withColumn("c", F.explode(F.array(*map(F.lit, origins)))).where(F.col("m") < F.col("c") - lag)
 
 
 def growth(series: DataFrame, origins: list[int], lag: int, last: int = 3, bounds: tuple[float, float] = (-0.1, 0.5)) -> DataFrame:
@@ -45,29 +45,37 @@ def carried(series: DataFrame, origins: list[int], lag: int, until: int = 12) ->
     return months.withColumn("k", steps).select("field", "c", "m", (F.try_element_at("vs", F.col("m") - 12 * F.col("k")) * F.exp(F.col("g") * F.col("k"))).alias("v")).where("v IS NOT NULL")
 
 
-def level_forecasts(panel: DataFrame, series: DataFrame, cases: list[tuple[int, int]], lag: int = 1, field: str = "total", weight: float = 0.75) -> DataFrame:
+def field_of(fields: dict[str, str]) -> Column:
+    """The national field of a row's category: total where the mapping has none."""
+    named = [F.when(F.col("category") == c, F.lit(f)) for c, f in sorted(fields.items())]
+    return F.coalesce(*named, F.lit("total"))
+
+
+def level_forecasts(panel: DataFrame, series: DataFrame, cases: list[tuple[int, int]], lag: int = 1, fields: dict[str, str] | None = None, weight: float = 0.75) -> DataFrame:
     """level1, level3, seasonal, local_blend and national_growth of each series.
 
     level1 and level3 are the last and the median of the last three ratios of the series to the national one, times the
-    national value of the target. The seasonal part grows by pooled and own yearly log changes; without a year of
-    history it is level3.
+    national value of the target. The seasonal part grows by pooled and own yearly log changes; with no month more than a
+    year of history by the national growth, and with less than a year it is level3. `fields` names the national field
+    of a category; other categories take the total.
     """
     origins = sorted({c for c, _ in cases})
-    rows = filled_both(dense_prefixes(panel, origins), "c").select(*SERIES, "c", "t", "z")
-    ref = carried(series.where(F.col("field") == field), origins, lag).select("c", F.col("m").alias("t"), "v")
+    rows = filled_both(dense_prefixes(panel, origins), "c").select(*SERIES, "c", "t", "z", field_of(fields or {}).alias("field"))
+    used = series.where(F.col("field").isin("total", *(fields or {}).values()))
+    ref = carried(used, origins, lag).select("field", "c", F.col("m").alias("t"), "v")
     year = rows.select(*SERIES, "c", (F.col("t") + 12).alias("t"), F.col("z").alias("z12"))
-    tail = rows.where(F.col("t") >= F.col("c") - 3).join(F.broadcast(ref), ["c", "t"]).join(year, [*SERIES, "c", "t"], "left")  # ref: origins times months
-    per = tail.groupBy(*SERIES, "c").agg(F.max_by("z", "t").alias("last"), F.max_by(F.col("z") / F.col("v"), "t").alias("r1"), F.median(F.col("z") / F.col("v")).alias("r3"), F.percentile(F.log(F.col("z") / F.col("z12")), F.lit(0.5)).alias("own"))
+    tail = rows.where(F.col("t") >= F.col("c") - 3).join(F.broadcast(ref), ["field", "c", "t"]).join(year, [*SERIES, "c", "t"], "left")  # ref: fields times origins times months
+    per = tail.groupBy(*SERIES, "field", "c").agg(F.max_by("z", "t").alias("last"), F.max_by(F.col("z") / F.col("v"), "t").alias("r1"), F.median(F.col("z") / F.col("v")).alias("r3"), F.percentile(F.log(F.col("z") / F.col("z12")), F.lit(0.5)).alias("own"))
     pooled = per.groupBy("category", "c").agg(F.percentile("own", F.lit(0.5)).alias("pooled"))
-    g = growth(series.where(F.col("field") == field), origins, lag).select("c", "g")
+    g = growth(used, origins, lag).select("field", "c", "g")
     horizons = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(h).alias("h")) for c, h in cases])
-    out = per.join(pooled, ["category", "c"]).join(F.broadcast(g), "c").withColumn("case", F.explode(horizons)).where("c = case.c").withColumn("h", F.col("case.h")).drop("case")
-    out = out.withColumn("t", F.col("c") + F.col("h") - 1).join(F.broadcast(ref), ["c", "t"]).withColumnRenamed("v", "target_value")
+    out = per.join(pooled, ["category", "c"]).join(F.broadcast(g), ["field", "c"]).withColumn("case", F.explode(horizons)).where("c = case.c").withColumn("h", F.col("case.h")).drop("case")
+    out = out.withColumn("t", F.col("c") + F.col("h") - 1).join(F.broadcast(ref), ["field", "c", "t"]).withColumnRenamed("v", "target_value")
     before = rows.select(*SERIES, "c", (F.col("t") + 12).alias("t"), F.col("z").alias("z_before"))
     out = out.join(before, [*SERIES, "c", "t"], "left")
     level1, level3 = F.col("r1") * F.col("target_value"), F.col("r3") * F.col("target_value")
     grown = clip(weight * F.col("pooled") + (1 - weight) * F.col("own"), -0.2, 0.7)
-    seasonal = F.coalesce(F.col("z_before") * F.exp(grown), level3)
+    seasonal = F.coalesce(F.col("z_before") * F.exp(F.coalesce(grown, F.col("g"))), level3)
     return out.select(*SERIES, "c", "h", level1.alias("level1"), level3.alias("level3"), seasonal.alias("seasonal"), ((seasonal + (level1 + level3) / 2) / 2).alias("local_blend"), (F.col("last") * F.exp(F.col("g") * F.col("h") / 12)).alias("national_growth"))
 
 

@@ -58,12 +58,12 @@ def cusum(spark, d):
     return _charted(D.cusum(_z(spark, d), 4.0))
 
 
-@query(_chart("0.3 * n.z + 0.7 * f.s", f"abs(s2) / {math.sqrt(0.3 / 1.7) * 2!r}", "CASE WHEN s2 >= 0 THEN 1 ELSE -1 END", "CAST(0 AS DOUBLE)"))
+@query(_chart("0.3 * n.z + 0.7 * f.s", f"abs(s2) / {math.sqrt(0.3 / 1.7) * 2!r}", "sign(s2)", "CAST(0 AS DOUBLE)"))
 def ewma(spark, d):
     return _charted(D.ewma(_z(spark, d), 2.0))
 
 
-@query(_chart("list_append(f.s, n.z)[-3:]", "abs(list_sum(s2) / len(s2)) * sqrt(len(s2)) / 2", "CASE WHEN list_sum(s2) >= 0 THEN 1 ELSE -1 END", "CAST([] AS DOUBLE[])"))
+@query(_chart("list_append(f.s, n.z)[-3:]", "abs(list_sum(s2) / len(s2)) * sqrt(len(s2)) / 2", "sign(list_sum(s2))", "CAST([] AS DOUBLE[])"))
 def window_mean(spark, d):
     return _charted(D.window_mean(_z(spark, d), 2.0))
 
@@ -72,18 +72,18 @@ CLIPPED = "list_append(f.s, least(greatest(n.z, -3), 3))[-6:]"
 SCALES = f"[{', '.join(f'CASE WHEN len(s2) >= {k} THEN list_sum(s2[-{k}:]) / {math.sqrt(k)!r} ELSE 0 END' for k in range(2, 7))}]"
 
 
-@query(_chart(CLIPPED, f"CASE WHEN len(s2) >= 3 THEN abs({MEDIAN('s2[-3:]')} * {math.sqrt(3)!r}) / 2 ELSE 0 END", f"CASE WHEN len(s2) >= 3 AND {MEDIAN('s2[-3:]')} < 0 THEN -1 ELSE 1 END", "CAST([] AS DOUBLE[])", 6))
+@query(_chart(CLIPPED, f"CASE WHEN len(s2) >= 3 THEN abs({MEDIAN('s2[-3:]')} * {math.sqrt(3)!r}) / 2 ELSE 0 END", f"CASE WHEN len(s2) >= 3 THEN sign({MEDIAN('s2[-3:]')}) ELSE 0 END", "CAST([] AS DOUBLE[])", 6))
 def median3(spark, d):
     return _charted(D.robust(_z(spark, d), "median3", 2.0))
 
 
-@query(_chart(CLIPPED, f"list_max(list_transform({SCALES}, lambda q: abs(q))) / 3", f"CASE WHEN {SCALES}[list_position(list_transform({SCALES}, lambda q: abs(q)), list_max(list_transform({SCALES}, lambda q: abs(q))))] >= 0 THEN 1 ELSE -1 END", "CAST([] AS DOUBLE[])", 6))
+@query(_chart(CLIPPED, f"list_max(list_transform({SCALES}, lambda q: abs(q))) / 3", f"sign({SCALES}[list_position(list_transform({SCALES}, lambda q: abs(q)), list_max(list_transform({SCALES}, lambda q: abs(q))))])", "CAST([] AS DOUBLE[])", 6))
 def multiscale(spark, d):
     return _charted(D.robust(_z(spark, d), "multiscale", 3.0))
 
 
 PANEL_Z = f"""{SUPPLIERS}, yo AS (SELECT a.territory_id, a.category, a.t, ln(a.y + 1) - ln(b.y + 1) AS change FROM obs a JOIN obs b ON a.territory_id = b.territory_id AND a.category = b.category AND a.t = b.t + 12),
-fa AS (SELECT t, median(change) AS factor FROM yo GROUP BY t), sp AS (SELECT t, any_value(factor) AS factor, greatest(1.4826 * median(abs(change - factor)), 0.03) AS spread FROM yo JOIN fa USING (t) GROUP BY t),
+fa AS (SELECT t, median(change) AS factor FROM yo GROUP BY t), sp AS (SELECT t, any_value(factor) AS factor, greatest(1.4826 * median(abs(change - factor)), 0.02) AS spread FROM yo JOIN fa USING (t) GROUP BY t),
 pz AS (SELECT territory_id, t, (change - factor) / spread AS z FROM yo JOIN sp USING (t)),
 pw AS (SELECT territory_id, t, abs(avg(z) OVER w) AS score, count(z) OVER w AS k FROM pz WINDOW w AS (PARTITION BY territory_id ORDER BY t RANGE BETWEEN 1 PRECEDING AND CURRENT ROW)),
 hits AS (SELECT territory_id, t, row_number() OVER (PARTITION BY territory_id ORDER BY t) AS r FROM pw WHERE k = 2 AND score >= 1.5)"""
@@ -107,7 +107,7 @@ def panel_alarms(spark, d):
 def _confirmed_sql(source: str, keys: str, w: int) -> str:
     return f"""cx AS (SELECT *, ln(y + 1) AS x FROM {source}), cf AS (SELECT category, t, median(x) AS f FROM cx GROUP BY ALL),
 c1 AS (SELECT cx.*, x - f AS r FROM cx JOIN cf USING (category, t)), c2 AS (SELECT *, r - lag(r) OVER (PARTITION BY {keys} ORDER BY t) AS diff FROM c1),
-c3 AS (SELECT *, list_filter(coalesce(list(diff) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND {w} PRECEDING), []), lambda q: q IS NOT NULL) AS diffs,
+c3 AS (SELECT *, list_filter(coalesce(list(diff) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []), lambda q: q IS NOT NULL) AS diffs,
   list_filter(coalesce(list(r) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN {w + 5} PRECEDING AND {w} PRECEDING), []), lambda q: q IS NOT NULL) AS ref,
   list_filter(coalesce(list(r) OVER (PARTITION BY {keys} ORDER BY t ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW), []), lambda q: q IS NOT NULL) AS recent FROM c2),
 c4 AS (SELECT *, list_transform(recent, lambda v: v - {MEDIAN('ref')}) AS shifts FROM c3),
@@ -146,7 +146,7 @@ def inject_cases(spark, d):
 GRID = (1.5, 2.0, 2.5, 3.0)
 SCORED = f"""{INJECTED}, cy AS (SELECT i.territory_id, i.kind, i.change, i.t, ln(i.y + 1) - ln(b.y + 1) AS change12 FROM inj i JOIN inj b ON b.territory_id = i.territory_id AND b.kind = i.kind AND b.t = i.t - 12),
 oy AS (SELECT a.territory_id, a.t, ln(a.y + 1) - ln(b.y + 1) AS ch FROM whole a JOIN whole b ON a.territory_id = b.territory_id AND a.t = b.t + 12), of1 AS (SELECT t, median(ch) AS factor FROM oy GROUP BY t),
-os AS (SELECT t, any_value(factor) AS factor, greatest(1.4826 * median(abs(ch - factor)), 0.03) AS spread FROM oy JOIN of1 USING (t) GROUP BY t),
+os AS (SELECT t, any_value(factor) AS factor, greatest(1.4826 * median(abs(ch - factor)), 0.02) AS spread FROM oy JOIN of1 USING (t) GROUP BY t),
 cz AS (SELECT territory_id, kind, change, t, abs((change12 - factor) / spread) AS score FROM cy JOIN os USING (t)),
 th AS (SELECT unnest(CAST([{', '.join(map(str, GRID))}] AS DOUBLE[])) AS threshold),
 hits AS (SELECT threshold, territory_id, kind, t, row_number() OVER (PARTITION BY threshold, territory_id, kind ORDER BY t) AS r FROM cz, th WHERE score >= threshold),

@@ -8,8 +8,10 @@ from ..functions import tidy
 from ..operators import baselines as B
 from ..operators import factors as A
 from ..operators import national as N
+from ..operators import metrics as M
 from ..operators import news, ridge
 from ..operators import panel as P
+from ..operators.policy import blend
 from .ctes import BASE, DENSE, OBS
 from .ctes import tidy as t
 from .registry import query
@@ -55,7 +57,7 @@ _candidates(3)
 _candidates(6)
 
 MEMBERS = f"""{FACTORS}, tail AS (SELECT a.*, a.z - b.z AS zy, a.f - b.f AS fy FROM ds a LEFT JOIN ds b ON a.territory_id = b.territory_id AND a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - 3),
-per AS (SELECT territory_id, category, c, arg_max(d, t) AS dl, median(d) AS d3, least(greatest(coalesce(quantile_cont(zy, 0.5), 0), -0.2), 0.7) AS own, least(greatest(coalesce(quantile_cont(fy, 0.5), 0), -0.2), 0.7) AS g FROM tail GROUP BY ALL),
+per AS (SELECT territory_id, category, c, arg_max(d, t) AS dl, median(d) AS d3, quantile_cont(zy, 0.5) AS own, least(greatest(coalesce(quantile_cont(fy, 0.5), 0), -0.2), 0.7) AS g FROM tail GROUP BY ALL),
 mem AS (SELECT p.territory_id, p.category, p.c, fc.h, {VALUE('s.z')} AS seasonal, {VALUE('s.z + g')} AS pooled_growth, {VALUE('s.z + 0.75 * g + 0.25 * own')} AS shrink_growth, {VALUE('s.f + g + 0.7 * dl + 0.3 * d3')} AS factor_state,
   {VALUE('s.f + g + pow(0.8, fc.h) * (0.7 * dl + 0.3 * d3) + (1 - pow(0.8, fc.h)) * s.d')} AS factor_damped
   FROM per p JOIN fc USING (c) JOIN ds s ON s.territory_id = p.territory_id AND s.category = p.category AND s.c = p.c AND s.t = p.c + fc.h - 13)"""
@@ -100,7 +102,7 @@ nat AS (SELECT * FROM nat1 UNION ALL SELECT 'total', m, CAST(sum(CAST(round(v *
 
 
 def _grown(lag: int) -> str:
-    return f"""{NATIONAL}, no(c) AS (VALUES (3), (9), (12), (15), (18), (21)), seen AS (SELECT n.*, no.c FROM nat n JOIN no ON n.m < no.c - {lag} + 1),
+    return f"""{NATIONAL}, no(c) AS (VALUES (3), (9), (12), (15), (18), (21)), seen AS (SELECT n.*, no.c FROM nat n JOIN no ON n.m < no.c - {lag}),
 yoy AS (SELECT a.field, a.c, a.m, ln(a.v / b.v) AS g, row_number() OVER (PARTITION BY a.field, a.c ORDER BY a.m DESC) AS r FROM seen a JOIN seen b ON a.field = b.field AND a.c = b.c AND a.m = b.m + 12),
 grown AS (SELECT field, c, least(greatest(median(g), -0.1), 0.5) AS g FROM yoy WHERE r <= 3 GROUP BY ALL),
 ends AS (SELECT field, c, max(m) AS last_m FROM seen GROUP BY ALL),
@@ -108,6 +110,9 @@ carried AS (SELECT s.field, s.c, q.m, s.v * exp(g * q.k) AS v FROM (SELECT field
   JOIN LATERAL (SELECT e.m AS m, CASE WHEN e.m <= e.last_m THEN 0 ELSE CAST(ceil((e.m - e.last_m) / 12.0) AS INTEGER) END AS k) q ON TRUE JOIN seen s ON s.field = e.field AND s.c = e.c AND s.m = q.m - 12 * q.k)"""
 
 
+#: National fields of two categories; the others take the total.
+FIELDS = {"1-URGENT": "AUTOMOBILE", "5-LOW": "HOUSEHOLD"}
+FIELD_SQL = "CASE d.category " + " ".join(f"WHEN '{c}' THEN '{f}'" for c, f in FIELDS.items()) + " ELSE 'total' END"
 NAT_ORIGINS = [3, 9, 12, 15, 18, 21]
 NAT_CASES = [(3, 12), (9, 12), (12, 1), (12, 3), (12, 12), (15, 1), (18, 1), (18, 6), (21, 1), (21, 3)]
 
@@ -132,13 +137,13 @@ def _levels(lag: int) -> str:
     return f"""{OBS}, {DENSE}, {_grown(lag)}, nc(c, h) AS (VALUES {rows}),
 nk AS (SELECT territory_id, category, no.c FROM obs JOIN no ON obs.t < no.c GROUP BY ALL),
 nz AS (SELECT d.territory_id, d.category, k.c, d.t, greatest(coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY d.territory_id, d.category, k.c ORDER BY d.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-  first_value(y IGNORE NULLS) OVER (PARTITION BY d.territory_id, d.category, k.c ORDER BY d.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 1) AS z FROM dense d JOIN nk k ON d.territory_id = k.territory_id AND d.category = k.category AND d.t < k.c),
-ref AS (SELECT c, m AS t, v FROM carried WHERE field = 'total'),
-ntail AS (SELECT a.*, r.v, ln(a.z / b.z) AS own FROM nz a JOIN ref r USING (c, t) LEFT JOIN nz b ON a.territory_id = b.territory_id AND a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - 3),
-np AS (SELECT territory_id, category, c, arg_max(z, t) AS last, arg_max(z / v, t) AS r1, median(z / v) AS r3, quantile_cont(own, 0.5) AS own FROM ntail GROUP BY ALL),
+  first_value(y IGNORE NULLS) OVER (PARTITION BY d.territory_id, d.category, k.c ORDER BY d.t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 1) AS z, {FIELD_SQL} AS field FROM dense d JOIN nk k ON d.territory_id = k.territory_id AND d.category = k.category AND d.t < k.c),
+ref AS (SELECT field, c, m AS t, v FROM carried),
+ntail AS (SELECT a.*, r.v, ln(a.z / b.z) AS own FROM nz a JOIN ref r ON r.c = a.c AND r.t = a.t AND r.field = a.field LEFT JOIN nz b ON a.territory_id = b.territory_id AND a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - 3),
+np AS (SELECT territory_id, category, field, c, arg_max(z, t) AS last, arg_max(z / v, t) AS r1, median(z / v) AS r3, quantile_cont(own, 0.5) AS own FROM ntail GROUP BY ALL),
 pool AS (SELECT category, c, quantile_cont(own, 0.5) AS pooled FROM np GROUP BY ALL),
-lv AS (SELECT np.territory_id, np.category, np.c, nc.h, r1 * ref.v AS level1, r3 * ref.v AS level3, CASE WHEN s.z IS NULL OR own IS NULL THEN r3 * ref.v ELSE s.z * exp(least(greatest(0.75 * pooled + 0.25 * own, -0.2), 0.7)) END AS seasonal, last * exp(g * nc.h / 12) AS national_growth
-  FROM np JOIN pool USING (category, c) JOIN nc USING (c) JOIN ref ON ref.c = np.c AND ref.t = np.c + nc.h - 1 JOIN grown ON grown.c = np.c AND grown.field = 'total'
+lv AS (SELECT np.territory_id, np.category, np.c, nc.h, r1 * ref.v AS level1, r3 * ref.v AS level3, CASE WHEN s.z IS NULL THEN r3 * ref.v ELSE s.z * exp(CASE WHEN own IS NULL THEN g ELSE least(greatest(0.75 * pooled + 0.25 * own, -0.2), 0.7) END) END AS seasonal, last * exp(g * nc.h / 12) AS national_growth
+  FROM np JOIN pool USING (category, c) JOIN nc USING (c) JOIN ref ON ref.c = np.c AND ref.field = np.field AND ref.t = np.c + nc.h - 1 JOIN grown ON grown.c = np.c AND grown.field = np.field
   LEFT JOIN nz s ON s.territory_id = np.territory_id AND s.category = np.category AND s.c = np.c AND s.t = np.c + nc.h - 13),
 levels AS (SELECT *, (seasonal + (level1 + level3) / 2) / 2 AS local_blend FROM lv)"""
 
@@ -148,7 +153,7 @@ LEVELS = ("level1", "level3", "seasonal", "local_blend", "national_growth")
 
 def _register_levels(name: str, lag: int) -> None:
     def run(spark, d):
-        return N.level_forecasts(P.order_panel(spark, d), N.national(spark, d), NAT_CASES, lag).select(*P.SERIES, "c", "h", *[tidy(c, 3).alias(c) for c in LEVELS])
+        return N.level_forecasts(P.order_panel(spark, d), N.national(spark, d), NAT_CASES, lag, FIELDS).select(*P.SERIES, "c", "h", *[tidy(c, 3).alias(c) for c in LEVELS])
 
     run.__name__ = name
     query(f"WITH {_levels(lag)} SELECT territory_id, category, c, h, {', '.join(f'{t(c, 3)} AS {c}' for c in LEVELS)} FROM levels")(run)
@@ -160,7 +165,7 @@ _register_levels("lag2_sensitivity", 2)
 
 @query(f"WITH {_levels(1)} SELECT territory_id, category, c, h, {t('level3', 3)} AS level3, {t('national_growth', 3)} AS national_growth FROM levels WHERE h = 12 AND c IN (3, 9)")
 def annual_short_prefix(spark, d):
-    rows = N.level_forecasts(P.order_panel(spark, d), N.national(spark, d), [(3, 12), (9, 12)], 1)
+    rows = N.level_forecasts(P.order_panel(spark, d), N.national(spark, d), [(3, 12), (9, 12)], 1, FIELDS)
     return rows.select(*P.SERIES, "c", "h", tidy("level3", 3).alias("level3"), tidy("national_growth", 3).alias("national_growth"))
 
 
@@ -178,7 +183,7 @@ def panel_recent(spark, d):
 {t("CASE WHEN l.h = 12 THEN level3 WHEN l.h IN (3, 6) THEN seasonal ELSE (seasonal + coalesce(panel_recent, local_blend) + local_blend) / 3 END", 3)} AS final FROM levels l LEFT JOIN recent USING (territory_id, category, c, h)""")
 def v5_forecast(spark, d):
     panel = P.order_panel(spark, d)
-    parts = N.level_forecasts(panel, N.national(spark, d), NAT_CASES, 1).withColumn("base", F.col("seasonal")).join(N.panel_recent(panel, NAT_CASES), [*P.SERIES, "c", "h"], "left")
+    parts = N.level_forecasts(panel, N.national(spark, d), NAT_CASES, 1, FIELDS).withColumn("base", F.col("seasonal")).join(N.panel_recent(panel, NAT_CASES), [*P.SERIES, "c", "h"], "left")
     return N.combined(parts).select(*P.SERIES, "c", "h", tidy("final", 3).alias("final"))
 
 
@@ -194,12 +199,49 @@ def asof_news_features(spark, d):
     return news.features(dates, news.events(spark)).withColumn("age", tidy("age", 6))
 
 
-@query(f"WITH {BASE} SELECT territory_id, category, c, h, {t('CASE WHEN h = 12 THEN damped_trend WHEN c < 18 THEN seasonal_scaled ELSE 0.25 * damped_trend + 0.75 * seasonal_scaled END')} AS predicted FROM paired")
+WEIGHTS = (0.0, 0.25, 0.5, 0.75, 1.0)
+
+
+@query(f"WITH {BASE} SELECT territory_id, category, c, h, {', '.join(f'{t(f'{w} * damped_trend + {1 - w} * seasonal_scaled')} AS blend_{int(100 * w)}' for w in WEIGHTS)} FROM paired")
+def blend_candidates(spark, d):
+    return pairs(spark, d).select(*P.SERIES, "c", "h", *[tidy(blend("damped_trend", "seasonal_scaled", w)).alias(f"blend_{int(100 * w)}") for w in WEIGHTS])
+
+
+@query()
 def release_rule(spark, d):
-    from ..operators.policy import blend
+    """Rows only: damped trend for 12 months, scaled season before origin 18, else the ridge; tested against its parts."""
+    wide = pairs(spark, d)
+    late = [(c, h) for c, h in B.CASES if c >= 18 and h != 12]
+    fitted = ridge.forecasts(P.order_panel(spark, d), late).withColumnRenamed("predicted", "ridge")
+    rule = F.when(F.col("h") == 12, F.col("damped_trend")).when(F.col("c") < 18, F.col("seasonal_scaled")).otherwise(F.col("ridge"))
+    return wide.join(fitted, [*P.SERIES, "c", "h"], "left").select(*P.SERIES, "c", "h", tidy(rule, 2).alias("predicted"))
+
+
+RIDGE_CASES = [(18, 1), (18, 3), (18, 12), (21, 1)]
+RIDGE_SQL = f"""{FACTORS}, rc(c, h) AS (VALUES {', '.join(f'({c}, {h})' for c, h in RIDGE_CASES)}),
+ls AS (SELECT territory_id, category, c, list(z ORDER BY t) AS xs, regr_slope(z, t) FILTER (WHERE t >= c - 6) AS slope FROM zs GROUP BY ALL)"""
+RIDGE_COLUMNS = {
+    "level": "xs[c]", "diff1": "xs[c - 1] - xs[c]", "diff2": "xs[c - 2] - xs[c]", "mean3": "list_avg(xs[c - 2:c]) - xs[c]", "mean6": "list_avg(xs[c - 5:c]) - xs[c]", "slope": "slope", "slope_h": "slope * least(h, 6)",
+    "seasonal_diff": "xs[c + h - 12] - xs[c]", "yoy": "list_aggregate(list_transform(range(13, c + 1), lambda i: xs[i] - xs[i - 12]), 'median')", "h12": "h / 12.0", "log_h": "ln(1 + h)", "has_season": "CAST(1 AS DOUBLE)", "age": "c / 24.0",
+    "sin1": "sin(2 * pi() * (c + h - 1) / 12)", "cos2": "cos(4 * pi() * (c + h - 1) / 12)", "cat0": "CASE WHEN category = (SELECT min(category) FROM ls) THEN 1.0 ELSE 0.0 END",
+}
+
+
+@query(f"WITH {RIDGE_SQL} SELECT territory_id, category, c, h, {', '.join(f'{t(x, 6)} AS {n}' for n, x in RIDGE_COLUMNS.items())} FROM ls JOIN rc USING (c)")
+def ridge_features(spark, d):
+    panel = P.order_panel(spark, d)
+    rows = ridge.feature_rows(panel, RIDGE_CASES, panel.select("category").distinct().count())
+    return rows.select(*P.SERIES, "c", "h", *[tidy(n, 6).alias(n) for n in RIDGE_COLUMNS])
 
-    rule = F.when(F.col("h") == 12, F.col("damped_trend")).when(F.col("c") < 18, F.col("seasonal_scaled")).otherwise(blend("damped_trend", "seasonal_scaled", 0.25))
-    return pairs(spark, d).select(*P.SERIES, "c", "h", tidy(rule).alias("predicted"))
+
+@query()
+def news_ablation(spark, d):
+    """Rows only: mean errors of the ridge without and with news, on the same pairs."""
+    panel, cases = P.order_panel(spark, d), [(18, 1), (18, 3), (18, 6)]
+    actual = panel.select(*P.SERIES, F.col("t").alias("target"), F.col("y").alias("actual"))
+    without, known = ridge.forecasts(panel, cases).withColumnRenamed("predicted", "without"), ridge.forecasts(panel, cases, events=news.events(spark)).withColumnRenamed("predicted", "with_news")
+    both = without.join(known, [*P.SERIES, "c", "h"]).withColumn("target", F.col("c") + F.col("h") - 1).join(actual, [*P.SERIES, "target"])
+    return M.paired_change(both, "with_news", "without", "h")
 
 
 @query()
