@@ -62,8 +62,8 @@ def season_adapted(model: Forecaster, y: np.ndarray, h: int) -> np.ndarray:
     slope = ((t - t.mean()) * (x - x.mean(axis=1, keepdims=True))).sum(axis=1) / ((t - t.mean()) ** 2).sum()
     profile = x - x.mean(axis=1, keepdims=True) - slope[:, None] * (t - t.mean())
     n = y.shape[1]
-    flat = (y + 1) / np.exp(profile[:, np.arange(n) % 12]) - 1
-    back = (model(flat, h) + 1) * np.exp(profile[:, (n + h - 1) % 12]) - 1
+    flat = (y + 1) / np.exp(profile[:, np.arange(n) % 12])
+    back = model(flat, h) * np.exp(profile[:, (n + h - 1) % 12]) - 1
     return np.clip(back, 0.25 * y[:, -1], 4 * y[:, -1])
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import array_mad, array_median, clip, let
@@ -175,6 +175,37 @@ def alarms(scores: DataFrame, threshold: float, cooldown: int = 3) -> DataFrame:
     return hits.select(*SERIES, F.explode(kept).alias("t"))
 
 
+def uniform(*key: Column | str) -> Column:
+    """A number in [0, 1) from the digest of the parts, the same in every engine and run."""
+    parts = [F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
+
+
+SYNTHETIC = ("none", "outlier", "up", "down", "slope")
+
+
+def synthetic(spark: SparkSession, seed: str, cases: int, length: int = 60) -> DataFrame:
+    """case_id, kind, change, t, y: made series with a trend, a season and noise in logs, a fifth each of five kinds.
+
+    The change starts at 14 to 17 in 24 months, else at 28 to 42; up and down shift the level by .12 to .35, slope adds
+    .015 to .035 a month from the change on, and an outlier is one month of twice the shift.
+    """
+    first, span = (14, 4) if length == 24 else (28, 15)
+    rows = spark.range(cases).withColumn("kind", F.explode(F.array(*map(F.lit, SYNTHETIC)))).withColumn("case_id", F.concat_ws("-", F.lit(seed), F.lit(length), "kind", "id"))
+    u = lambda name, lo, hi: F.lit(lo) + F.lit(hi - lo) * uniform(F.col("case_id"), F.lit(name))
+    rows = rows.select("case_id", "kind", (F.lit(first) + F.floor(uniform("case_id", F.lit("at")) * span)).cast("int").alias("at"), u("sigma", 0.02, 0.07).alias("sigma"), u("base", 6.0, 10.0).alias("base"), u("trend", -0.002, 0.01).alias("trend"),
+                       u("season", 0.03, 0.16).alias("season"), u("phase", 0.0, 6.28).alias("phase"), u("size", 0.12, 0.35).alias("size"), u("rise", 0.015, 0.035).alias("rise"))
+    rows = rows.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(length - 1))))
+    noise = F.sqrt(-2 * F.log(1 - uniform("case_id", "t", F.lit("a")))) * F.cos(2 * math.pi * uniform("case_id", "t", F.lit("b")))
+    after, kind = F.col("t") >= F.col("at"), F.col("kind")
+    moved = (
+        F.when((kind == "up") & after, F.col("size")).when((kind == "down") & after, -F.col("size")).when((kind == "slope") & after, (F.col("t") - F.col("at")) * F.col("rise"))
+        .when((kind == "outlier") & (F.col("t") == F.col("at")), 2 * F.col("size")).otherwise(0.0)
+    )
+    x = F.col("base") + F.col("trend") * F.col("t") + F.col("season") * F.sin(2 * math.pi * F.col("t") / 12 + F.col("phase")) + F.col("sigma") * noise + moved
+    return rows.select("case_id", "kind", F.when(~kind.isin("none", "outlier"), F.col("at")).alias("change"), "t", F.expm1(x).alias("y"))
+
+
 KINDS = ("control", "level_up_10", "level_up_20", "level_down_10", "level_down_20", "slope_up", "outlier")
 
 
@@ -204,7 +235,7 @@ def case_scores(cases: DataFrame, found: DataFrame, tolerance: int = 2, keys: tu
     hit = F.when(F.col("first").isNotNull(), 1).otherwise(0)
     s = per.agg(
         F.sum(hit).alias("tp"), F.sum(F.col("alarms") - hit).alias("fp"), F.sum(F.when(F.col("change").isNotNull(), 1 - hit).otherwise(0)).alias("fn"),
-        F.avg(F.when(F.col("kind") == "control", (F.col("alarms") > 0).cast("int"))).alias("control_rate"), F.median(F.col("first") - F.col("change")).alias("delay"),
+        F.avg(F.when(F.col("kind").isin("control", "none"), (F.col("alarms") > 0).cast("int"))).alias("control_rate"), F.median(F.col("first") - F.col("change")).alias("delay"),
     )
     p, r = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
     return s.select("tp", "fp", "fn", F.coalesce(p, F.lit(0.0)).alias("precision"), F.coalesce(r, F.lit(0.0)).alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"), "control_rate", "delay")
@@ -215,3 +246,18 @@ def chosen(scores: DataFrame, limit: float = 0.05) -> DataFrame:
     ok = F.col("control_rate") <= limit
     order = F.struct((~ok).cast("int").alias("a"), F.when(ok, -F.col("f1")).otherwise(F.col("control_rate")).alias("b"), F.when(ok, F.col("threshold")).otherwise(-F.col("f1")).alias("c"), F.col("threshold").alias("d"))
     return scores.agg(F.min_by(F.struct(*scores.columns), order).alias("r")).select("r.*")
+
+
+def chosen_by_f1(scores: DataFrame, *groups: str) -> DataFrame:
+    """By group the row with the best f1; then the lower control rate, then the higher threshold."""
+    order = F.struct("f1", (-F.col("control_rate")).alias("quiet"), F.col("threshold").alias("t"))
+    return scores.groupBy(*groups).agg(F.max_by(F.struct(*[c for c in scores.columns if c not in groups]), order).alias("r")).select(*groups, "r.*")
+
+
+def chosen_across(scores: DataFrame, limit: float = 0.1) -> DataFrame:
+    """One row (method, threshold, f1, control_rate): the best mean f1 over lengths among those whose largest control rate is
+    within the limit, by method's name on a tie; if there is none, the least such rate, then the best f1."""
+    per = scores.groupBy("method", "threshold").agg(F.avg("f1").alias("f1"), F.max("control_rate").alias("control_rate"))
+    ok = F.col("control_rate") <= limit
+    order = F.struct((~ok).cast("int").alias("a"), F.when(ok, -F.col("f1")).otherwise(F.col("control_rate")).alias("b"), F.when(ok, F.lit(0.0)).otherwise(-F.col("f1")).alias("c"), F.col("method").alias("d"), F.col("threshold").alias("e"))
+    return per.agg(F.min_by(F.struct(*per.columns), order).alias("r")).select("r.*")

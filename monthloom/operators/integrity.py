@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .detectors import yearly
+
 
 def duplicate_keys(rows: DataFrame, *keys: str) -> int:
     return rows.groupBy(*keys).count().where("count > 1").count()
@@ -48,11 +50,26 @@ def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
 
 
 def case_study(panel: DataFrame, alarms: DataFrame, events: DataFrame, before: list[int], after: list[int]) -> DataFrame:
-    """For each event (territory_id, event_t, available_t): alarm months at or after it, whether the news was known then, and the mean
-    yearly log change after less before."""
-    lag = panel.select("territory_id", "category", (F.col("t") + 12).alias("t"), F.col("y").alias("y12"))
-    yoy = panel.join(lag, ["territory_id", "category", "t"]).where("y > 0 AND y12 > 0").withColumn("g", F.log(F.col("y") / F.col("y12")))
-    gap = yoy.groupBy("territory_id").agg((F.avg(F.when(F.col("t").isin(after), F.col("g"))) - F.avg(F.when(F.col("t").isin(before), F.col("g")))).alias("yoy_gap"))
+    """For each event (territory_id, event_t, available_t): alarm months at or after it, whether the news was known then, and
+    relative_gap, the mean relative yearly growth (in points, against the median series) in the months after less those before."""
+    gap = relative_growth(panel).groupBy("territory_id").agg((F.avg(F.when(F.col("t").isin(after), F.col("relative"))) - F.avg(F.when(F.col("t").isin(before), F.col("relative")))).alias("relative_gap"))
     seen = events.join(alarms.select("territory_id", "t"), "territory_id", "left").where("t IS NULL OR t >= event_t")
     found = seen.groupBy("territory_id", "event_t").agg(F.sort_array(F.collect_set("t")).alias("alarm_months"), F.bool_or(F.col("t") >= F.col("available_t")).alias("news_known"))
     return events.join(found, ["territory_id", "event_t"], "left").join(gap, "territory_id", "left")
+
+
+def relative_growth(panel: DataFrame) -> DataFrame:
+    """relative: a series' yearly log change less its category's median of the month, in points."""
+    change = yearly(panel)
+    factor = change.groupBy("category", "t").agg(F.median("change").alias("factor"))
+    return change.join(factor, ["category", "t"]).select("territory_id", "category", "t", ((F.col("change") - F.col("factor")) * 100).alias("relative"))
+
+
+def case_history(panel: DataFrame, found: dict[str, DataFrame], events: DataFrame) -> DataFrame:
+    """A row for each event and observed month of its territory: actual, relative growth, an alarm flag for each method, and
+    whether the news was known when the month had ended."""
+    rows = events.select("territory_id", "event_t", "available_t").join(panel, "territory_id").join(relative_growth(panel), ["territory_id", "category", "t"], "left")
+    for method, alarms in found.items():
+        marked = alarms.select("territory_id", "t").distinct().withColumn(method, F.lit(True))
+        rows = rows.join(marked, ["territory_id", "t"], "left").withColumn(method, F.coalesce(method, F.lit(False)))
+    return rows.select("territory_id", "event_t", "t", F.col("y").alias("actual"), "relative", *found, (F.col("available_t") <= F.col("t")).alias("news_known"))

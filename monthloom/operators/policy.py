@@ -12,12 +12,14 @@ def best_model(pairs: DataFrame, *groups: str) -> DataFrame:
     return e.groupBy(*groups).agg(F.min(F.struct("mae", "model")).alias("best")).select(*groups, F.col("best.model").alias("model"), F.col("best.mae").alias("mae"))
 
 
-def gated_policy(pairs: DataFrame, base: str, order: list[str], gain: float = 0.98, groups: tuple[str, ...] = ("h", "category")) -> DataFrame:
-    """The best model if its error is at most `gain` of the base's, else the base; a tie goes by the list's order."""
+def gated_policy(pairs: DataFrame, base: str, order: list[str], gain: float = 0.98, groups: tuple[str, ...] = ("h", "category"), fixed: tuple[int, ...] = (12,)) -> DataFrame:
+    """The best model if its error is at most `gain` of the base's, else the base; a tie goes by the list's order. Fixed horizons keep the base."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col("model"))
     e = pairs.groupBy(*groups, "model").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("mae"))
     picked = e.groupBy(*groups).agg(F.min(F.struct(F.col("mae"), place.alias("place"), F.col("model"))).alias("best"), F.max(F.when(F.col("model") == base, F.col("mae"))).alias("base_mae"))
     ok = F.col("best.mae") <= gain * F.col("base_mae")
+    if "h" in groups and fixed:
+        ok = ok & ~F.col("h").isin(*fixed)
     return picked.select(*groups, F.when(ok, F.col("best.model")).otherwise(base).alias("model"), F.col("best.mae").alias("best_mae"), "base_mae")
 
 
@@ -42,10 +44,10 @@ def order_statistic(scores: DataFrame, score: str, coverage: float, *groups: str
     return ranked.where((F.col("__r") == k) | ((k > F.col("__n")) & (F.col("__r") == 1))).select(*groups, F.when(k > F.col("__n"), short.cast("double")).otherwise(F.col(score)).alias("q"))
 
 
-def conformal(tuned: DataFrame, pairs: DataFrame, coverage: float = 0.9) -> DataFrame:
-    """lower, upper around predicted: the scaled error's largest value by territory gives one score each, by horizon."""
+def conformal(tuned: DataFrame, pairs: DataFrame, coverage: float = 0.9, groups: tuple[str, ...] = ("h", "category")) -> DataFrame:
+    """lower, upper around predicted: the scaled error's largest value by territory gives one score each, by group. Fails on a group of too few territories."""
     score = F.abs(F.col("predicted") - F.col("actual")) / F.col("history_scale")
-    per = tuned.groupBy("h", "territory_id").agg(F.max(score).alias("score"))
-    q = order_statistic(per, "score", coverage, "h")
-    out = pairs.join(F.broadcast(q), "h")  # a row for each horizon
+    per = tuned.groupBy(*groups, "territory_id").agg(F.max(score).alias("score"))
+    q = order_statistic(per, "score", coverage, *groups)
+    out = pairs.join(F.broadcast(q), [*groups])  # a row for each horizon and category
     return out.withColumn("lower", F.greatest(F.col("predicted") - F.col("q") * F.col("history_scale"), F.lit(0.0))).withColumn("upper", F.col("predicted") + F.col("q") * F.col("history_scale"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tidy
 from ..operators import detectors as D
-from ..operators import news
+from ..operators import integrity, news
 from ..operators import panel as P
 from .ctes import DENSE, SUPPLIERS
 from .ctes import tidy as t
@@ -58,6 +58,11 @@ def cusum(spark, d):
     return _charted(D.cusum(_z(spark, d), 4.0))
 
 
+@query(_chart("{'up': greatest(0, f.s.up + n.z - 0.5), 'down': greatest(0, f.s.down - n.z - 0.5)}", "greatest(s2.up, s2.down) / 8", "CASE WHEN s2.up >= s2.down THEN 1 ELSE -1 END", "{'up': CAST(0 AS DOUBLE), 'down': CAST(0 AS DOUBLE)}"))
+def cusum_v1(spark, d):
+    return _charted(D.cusum(_z(spark, d), 8.0))
+
+
 @query(_chart("0.3 * n.z + 0.7 * f.s", f"abs(s2) / {math.sqrt(0.3 / 1.7) * 2!r}", "sign(s2)", "CAST(0 AS DOUBLE)"))
 def ewma(spark, d):
     return _charted(D.ewma(_z(spark, d), 2.0))
@@ -104,6 +109,75 @@ def panel_alarms(spark, d):
     return D.alarms(D.panel_window(z, 2), 1.5).select("territory_id", "t")
 
 
+def _panel_alarms(w: int, threshold: float) -> None:
+    def run(spark, d):
+        return D.alarms(D.panel_window(D.panel_scores(P.supplier_panel(spark, d)), w), threshold).select("territory_id", "t")
+
+    run.__name__ = f"panel{w}_alarms"
+    sql = PANEL_Z.replace("RANGE BETWEEN 1 PRECEDING", f"RANGE BETWEEN {w - 1} PRECEDING").replace("k = 2 AND score >= 1.5", f"k = {w} AND score >= {threshold}")
+    query(f"WITH RECURSIVE {sql}, {GREEDY} SELECT territory_id, t FROM greedy WHERE kept")(run)
+
+
+_panel_alarms(1, 2.0)
+_panel_alarms(3, 1.0)
+
+CASE_EVENTS = [(1, 15, 16), (2, 15, 16), (3, 15, 17)]
+
+
+@query(f"""WITH RECURSIVE {PANEL_Z}, {GREEDY}, ce(territory_id, event_t, available_t) AS (VALUES {", ".join(map(str, CASE_EVENTS))}), rg AS (SELECT territory_id, t, (change - factor) * 100 AS relative FROM yo JOIN fa USING (t))
+SELECT ce.territory_id, event_t, available_t, coalesce((SELECT string_agg(CAST(t AS VARCHAR), ',' ORDER BY t) FROM greedy g WHERE kept AND g.territory_id = ce.territory_id AND g.t >= event_t), '') AS alarm_months,
+  (SELECT {t("avg(relative) FILTER (WHERE t BETWEEN 15 AND 17) - avg(relative) FILTER (WHERE t BETWEEN 12 AND 14)", 6)} FROM rg WHERE rg.territory_id = ce.territory_id) AS relative_gap FROM ce""")
+def case_study(spark, d):
+    panel = P.supplier_panel(spark, d)
+    events = spark.createDataFrame(CASE_EVENTS, "territory_id long, event_t int, available_t int")
+    rows = integrity.case_study(panel, panel_alarms(spark, d), events, [12, 13, 14], [15, 16, 17])
+    months = F.coalesce(F.array_join(F.transform("alarm_months", lambda m: m.cast("string")), ","), F.lit(""))
+    return rows.select("territory_id", "event_t", "available_t", months.alias("alarm_months"), tidy("relative_gap", 6).alias("relative_gap"))
+
+
+@query(f"""WITH {PANEL_Z}, ce(territory_id, event_t, available_t) AS (VALUES {", ".join(map(str, CASE_EVENTS))}), rg AS (SELECT territory_id, t, (change - factor) * 100 AS relative FROM yo JOIN fa USING (t))
+SELECT ce.territory_id, event_t, o.t, {t('o.y')} AS actual, {t('relative', 6)} AS relative, available_t <= o.t AS news_known FROM ce JOIN obs o USING (territory_id) LEFT JOIN rg ON rg.territory_id = o.territory_id AND rg.t = o.t""")
+def case_history(spark, d):
+    events = spark.createDataFrame(CASE_EVENTS, "territory_id long, event_t int, available_t int")
+    return integrity.case_history(P.supplier_panel(spark, d), {}, events).withColumns({"actual": tidy("actual"), "relative": tidy("relative", 6)})
+
+
+UNIFORM = lambda *k: f"(CAST(('0x' || substr(md5({' || chr(58) || '.join(k)}), 1, 12)) AS BIGINT) / {float(1 << 48)!r})"
+U = lambda name, lo, hi: f"{lo} + {hi - lo!r} * {UNIFORM('case_id', repr(name))}"
+
+
+NOISE = f"sqrt(-2 * ln(1 - {UNIFORM('case_id', 't', repr('a'))})) * cos(2 * pi() * {UNIFORM('case_id', 't', repr('b'))})"
+MADE = f"""exp(base + trend * t + season * sin(2 * pi() * t / 12 + phase) + sigma * {NOISE}
+  + CASE WHEN kind = 'up' AND t >= at0 THEN size WHEN kind = 'down' AND t >= at0 THEN -size WHEN kind = 'slope' AND t >= at0 THEN (t - at0) * rise WHEN kind = 'outlier' AND t = at0 THEN 2 * size ELSE 0 END) - 1"""
+
+
+@query(f"""WITH k AS (SELECT unnest(['none', 'outlier', 'up', 'down', 'slope']) AS kind), c AS (SELECT kind, 's-60-' || kind || '-' || id AS case_id FROM k, (SELECT unnest(range(0, 20)) AS id)),
+p AS (SELECT *, 28 + CAST(floor({UNIFORM("case_id", "'at'")} * 15) AS INTEGER) AS at0, {U('sigma', 0.02, 0.07)} AS sigma, {U('base', 6.0, 10.0)} AS base, {U('trend', -0.002, 0.01)} AS trend, {U('season', 0.03, 0.16)} AS season, {U('phase', 0.0, 6.28)} AS phase,
+  {U('size', 0.12, 0.35)} AS size, {U('rise', 0.015, 0.035)} AS rise FROM c), r AS (SELECT *, unnest(range(0, 60)) AS t FROM p)
+SELECT case_id, kind, CASE WHEN kind NOT IN ('none', 'outlier') THEN at0 END AS change, CAST(t AS INTEGER) AS t, {t(MADE, 3)} AS y FROM r""")
+def synthetic_cases(spark, d):
+    return D.synthetic(spark, "s", 20).withColumn("y", tidy("y", 3))
+
+
+@query()
+def synthetic_scores(spark, d):
+    """Rows only: charts on made series by method and threshold; the rules of choice are tested on their own."""
+    return _synthetic_scores(spark).select("method", "threshold", "length", "tp", "fp", "fn", tidy("f1", 6).alias("f1"), tidy("control_rate", 6).alias("control_rate"), F.col("delay").cast("double").alias("delay"))
+
+
+def _synthetic_scores(spark, cases: int = 20):
+    out = None
+    for length in (24, 60):
+        made = D.synthetic(spark, "cal", cases, length)
+        z = D.innovations(made.select(F.col("case_id").alias("territory_id"), F.lit("ALL").alias("category"), "t", "y"), length)
+        listed = made.select("case_id", "kind", "change").distinct()
+        for method, threshold, chart in (("cusum_v1", 8.0, D.cusum(z, 8.0)), *(("multiscale", x, D.robust(z, "multiscale", x)) for x in (3.0, 5.0))):
+            found = chart.where("alarm").select(F.col("territory_id").alias("case_id"), "t")
+            row = D.case_scores(listed, found, 6).withColumns({"method": F.lit(method), "threshold": F.lit(threshold), "length": F.lit(length)})
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _confirmed_sql(source: str, keys: str, w: int) -> str:
     return f"""cx AS (SELECT *, ln(y + 1) AS x FROM {source}), cf AS (SELECT category, t, median(x) AS f FROM cx GROUP BY ALL),
 c1 AS (SELECT cx.*, x - f AS r FROM cx JOIN cf USING (category, t)), c2 AS (SELECT *, r - lag(r) OVER (PARTITION BY {keys} ORDER BY t) AS diff FROM c1),

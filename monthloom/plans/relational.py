@@ -118,7 +118,7 @@ def best_model(spark, d):
 
 POLICY = f"""{BASE}, e AS (SELECT h, category, model, avg(abs(predicted - actual)) AS mae, list_position(['seasonal_scaled', 'seasonal_naive', 'damped_trend', 'last_value'], model) AS place FROM long WHERE c <= 15 GROUP BY ALL),
 pick AS (SELECT h, category, arg_min(model, (mae, place)) AS best, min(mae) AS best_mae, max(mae) FILTER (WHERE model = 'seasonal_naive') AS base_mae FROM e GROUP BY ALL),
-policy AS (SELECT h, category, CASE WHEN best_mae <= 0.98 * base_mae THEN best ELSE 'seasonal_naive' END AS model, best_mae, base_mae FROM pick)"""
+policy AS (SELECT h, category, CASE WHEN h <> 12 AND best_mae <= 0.98 * base_mae THEN best ELSE 'seasonal_naive' END AS model, best_mae, base_mae FROM pick)"""
 
 
 def _policy(spark, d):
@@ -145,7 +145,7 @@ bounds AS (SELECT l.*, greatest(predicted - q * history_scale, 0) AS lower, pred
 
 def _bounds(spark, d):
     rows = B.long(pairs(spark, d)).where("model = 'seasonal_scaled'")
-    return Q.conformal(rows.where("c <= 18 AND h < 12"), rows)
+    return Q.conformal(rows.where("c <= 18 AND h < 12"), rows, groups=("h",))  # by category the smallest panels have too few territories
 
 
 @query(f"WITH {CONFORMAL} SELECT h, {t('q', 6)} AS q FROM q")
@@ -256,6 +256,22 @@ def bootstrap_draws(spark, d):
     return cluster_draws(pairs(spark, d), "territory_id", F.abs(F.col("seasonal_scaled") - F.col("actual")), F.abs(F.col("last_value") - F.col("actual")), DRAWS).select("draw", tidy("difference").alias("difference"))
 
 
+MONTHS = f"""{BASE}, m AS (SELECT c, avg(abs(seasonal_scaled - actual)) AS a, avg(abs(last_value - actual)) AS b FROM paired WHERE h = 1 GROUP BY c),
+i AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS at0, count(*) OVER () AS size FROM m),
+draws AS (SELECT draw, CAST(('0x' || substr(md5('month:' || draw || ':' || k), 1, 8)) AS BIGINT) % size AS at0 FROM (SELECT unnest(range(0, {DRAWS})) AS draw), (SELECT size, unnest(range(0, size)) AS k FROM (SELECT DISTINCT size FROM i))),
+ds AS (SELECT draw, (sum(a) - sum(b)) / count(*) AS difference FROM draws JOIN i USING (at0) GROUP BY draw)"""
+
+
+@query(f"WITH {MONTHS} SELECT {t('quantile_cont(difference, 0.025)')} AS low, {t('quantile_cont(difference, 0.975)')} AS high FROM ds")
+def month_bootstrap(spark, d):
+    """Origins are what is drawn: a row for each origin's mean errors."""
+    from ..operators.bootstrap import cluster_draws, interval
+
+    error = lambda m: F.avg(F.abs(F.col(m) - F.col("actual")))
+    by_origin = pairs(spark, d).where("h = 1").groupBy("c").agg(error("seasonal_scaled").alias("a"), error("last_value").alias("b"))
+    return interval(cluster_draws(by_origin, "c", F.col("a"), F.col("b"), DRAWS, "month")).select(tidy("low").alias("low"), tidy("high").alias("high"))
+
+
 DELAYED = BASE.replace("cases(c, h) AS (VALUES ", "cases(c, h) AS (SELECT c - 1, h + 1 FROM (VALUES ").replace("(23, 1))", "(23, 1)) v(c, h))")
 
 

@@ -11,6 +11,7 @@ from monthloom.operators import adapters, bootstrap, detectors, factors, integri
 from monthloom.operators import baselines as B
 from monthloom.operators import cohorts as C
 from monthloom.operators import export as E
+from monthloom.plans import registry
 from monthloom.streaming import charts
 
 
@@ -221,15 +222,105 @@ def test_integrity_and_case_study(spark):
     assert integrity.duplicate_keys(a, "territory_id") == 1 and integrity.overlapping(a, a) == 2 and integrity.different_sets(a, a.limit(0)) == 3
     with pytest.raises(ValueError, match="repeat"):
         integrity.validated_join(a, a, ["territory_id"])
-    p = frame(spark, [100.0] * 12 + [100.0] * 6 + [200.0] * 6)
+    p = frame(spark, [100.0] * 18 + [200.0] * 6, [70.0] * 24, [30.0] * 24)
     events = spark.createDataFrame([(0, 17, 19)], "territory_id long, event_t int, available_t int")
     alarms = spark.createDataFrame([(0, 18), (0, 20), (0, 13)], "territory_id long, t int")
     r = integrity.case_study(p, alarms, events, [15, 16, 17], [18, 19, 20]).first()
-    assert r.alarm_months == [18, 20] and r.news_known and r.yoy_gap == pytest.approx(math.log(2))
+    assert r.alarm_months == [18, 20] and r.news_known and r.relative_gap == pytest.approx(100 * math.log(201 / 101))
     assert integrity.differing_actuals(B.with_actual(B.baselines(p, [(18, 1)]), p), p) == 0
     assert integrity.not_finite(a.selectExpr("cast(v as double) AS v"), "v") == 0
 
 
+def test_case_history(spark):
+    p = frame(spark, [100.0] * 18 + [200.0] * 6, [70.0] * 24, [30.0] * 24)
+    events = spark.createDataFrame([(0, 17, 19)], "territory_id long, event_t int, available_t int")
+    rows = {r.t: r for r in integrity.case_history(p, {"chart": spark.createDataFrame([(0, 18)], "territory_id long, t int")}, events).collect()}
+    assert len(rows) == 24 and [t for t, r in rows.items() if r.chart] == [18]
+    assert not rows[18].news_known and rows[19].news_known and rows[11].relative is None and rows[17].relative == 0
+
+
+def test_members_with_a_year_or_less(spark):
+    rng = np.random.default_rng(8)
+    ys = np.exp(4 + 0.02 * np.arange(24) + rng.normal(0, 0.1, (5, 24)))
+    got = {(r.territory_id, r.c): r for r in factors.members(frame(spark, *ys.tolist()), [(12, 12), (6, 1), (3, 12), (18, 1)]).collect()}
+    assert {c for _, c in got} == {3, 12, 18}  # no month a year before the target of (6, 1)
+    for c, h in ((12, 12), (18, 1)):
+        z = np.log1p(ys[:, :c])
+        f = np.median(z, axis=0)
+        s, d = c + h - 13, z - f
+        pooled = factors.early_growth(list(range(c)), f.tolist()) if c <= 12 else float(np.clip(np.median((f[12:] - f[:-12])[-3:]), -0.2, 0.7))
+        own = np.full(5, pooled) if c <= 12 else np.median((z[:, 12:] - z[:, :-12])[:, -3:], axis=1)
+        state = 0.7 * d[:, -1] + 0.3 * np.median(d[:, -3:], axis=1)
+        for i in range(5):
+            r = got[i, c]
+            assert r.shrink_growth == pytest.approx(math.expm1(z[i, s] + 0.75 * pooled + 0.25 * own[i]))
+            assert r.pooled_growth == pytest.approx(math.expm1(z[i, s] + pooled)) and r.factor_state == pytest.approx(math.expm1(f[s] + pooled + state[i]))
+
+
+def test_zero_score_has_no_direction(spark):
+    z = zs(spark, [0.0, 0.0, 0.0, 2.0])
+    for chart in (detectors.ewma(z, 2.0), detectors.window_mean(z, 2.0), detectors.robust(z, "median3", 2.0), detectors.robust(z, "multiscale", 2.0)):
+        assert [r.direction for r in chart.orderBy("t").collect()][:3] == [0, 0, 0]
+
+
+def test_confirmed_shift_against_numpy(spark):
+    rng = np.random.default_rng(9)
+    ys = np.exp(5 + np.cumsum(rng.normal(0, 0.05, (7, 24)), axis=1))
+    x = np.log1p(ys)
+    r = x - np.median(x, axis=0)
+    for w in (2, 3):
+        got = {(q.territory_id, q.t): q.score for q in detectors.change_scores(frame(spark, *ys.tolist()), w).collect()}
+        for i in range(7):
+            for t in range(12, 24):
+                past = np.diff(r[i, :t])
+                shift = r[i, t - w + 1 : t + 1] - np.median(r[i, t - w - 5 : t - w + 1])
+                want = abs(shift).min() / max(1.4826 * np.median(abs(past - np.median(past))), 0.015) if (shift > 0).all() or (shift < 0).all() else 0.0
+                assert got[i, t] == pytest.approx(want)
+
+
+def test_panel_scores_against_numpy(spark):
+    rng = np.random.default_rng(10)
+    ys = np.exp(5 + rng.normal(0, 0.004, (9, 24)))
+    g = np.log1p(ys[:, 12:]) - np.log1p(ys[:, :-12])
+    factor = np.median(g, axis=0)
+    want = (g - factor) / np.maximum(1.4826 * np.median(abs(g - factor), axis=0), 0.02)
+    got = {(r.territory_id, r.t): r.z for r in detectors.panel_scores(frame(spark, *ys.tolist())).collect()}
+    assert len(got) == 9 * 12 and all(v == pytest.approx(want[i, t - 12]) for (i, t), v in got.items())
+
+
+def test_rules_of_choice(spark):
+    rows = [("a", 3.0, 24, 0.6, 0.2), ("a", 3.0, 60, 0.8, 0.0), ("a", 5.0, 24, 0.5, 0.1), ("a", 5.0, 60, 0.5, 0.0), ("b", 8.0, 24, 0.5, 0.0), ("b", 8.0, 60, 0.5, 0.0)]
+    s = spark.createDataFrame(rows, "method string, threshold double, length int, f1 double, control_rate double")
+    best = detectors.chosen_across(s).first()
+    assert (best.method, best.threshold, best.f1) == ("a", 5.0, 0.5)
+    assert detectors.chosen_across(s.where("threshold = 3.0")).first().control_rate == 0.2
+    assert {r.method: r.threshold for r in detectors.chosen_by_f1(s.where("length = 24"), "method").collect()} == {"a": 3.0, "b": 8.0}
+
+
+def test_intervals_by_horizon_and_category(spark):
+    rows = [(i, c, 1, 100.0, 100.0 + i * k, 1.0) for i in range(19) for c, k in (("a", 1), ("b", 3))]
+    p = spark.createDataFrame(rows, "territory_id int, category string, h int, predicted double, actual double, history_scale double")
+    assert {(r.category, r.q) for r in policy.conformal(p, p).collect()} == {("a", 17.0), ("b", 51.0)}
+
+
+def test_year_ahead_keeps_the_base(spark):
+    rows = [(h, "a", m, 0.0, e) for h in (1, 12) for m, e in (("base", 10.0), ("other", 0.0))]
+    pairs = spark.createDataFrame(rows, "h int, category string, model string, actual double, predicted double")
+    assert {r.h: r.model for r in policy.gated_policy(pairs, "base", ["base", "other"]).collect()} == {1: "other", 12: "base"}
+
+
+def test_ridge_on_known_news_and_release_rule(spark, sf):
+    rng = np.random.default_rng(11)
+    p = frame(spark, *(100 + rng.normal(0, 5, (6, 20))).tolist())
+    got = ridge.with_news(ridge.feature_rows(p, [(7, 1), (10, 1)], 1), news.events(spark), 1)
+    first = {r.c: r for r in got.where("territory_id = 0").collect()}
+    assert first[7].rate == pytest.approx(8.5 / 25) and first[10].rate == pytest.approx(15 / 25)  # before 1999-08-01 and 1999-11-01
+    assert set(ridge.names(1, True)) <= set(got.columns)
+    rows = registry.queries()["release_rule"](spark, sf).join(registry.queries()["baseline_forecasts"](spark, sf).select("territory_id", "category", "c", "h", "damped_trend", "seasonal_scaled"), ["territory_id", "category", "c", "h"]).collect()
+    early = [r for r in rows if r.h == 12 or r.c < 18]
+    assert early and all(r.predicted == pytest.approx(r.damped_trend if r.h == 12 else r.seasonal_scaled, abs=0.02) for r in early)
+
+
 def test_adapters_and_export(spark):
     p = frame(spark, [100 * (1 + 0.1 * math.sin(t)) for t in range(24)], [50.0] * 24)
     got = {r.territory_id: r.predicted for r in adapters.forecast(p, "last", 18, 1, adapted=True).collect()}
