@@ -309,4 +309,4 @@ def groups(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs but for documents that are not the first of their group. All columns stay."""
     gone = groups(docs, rule, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
