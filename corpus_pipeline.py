@@ -33,7 +33,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack_sequences)]
 
-#: Learned scores, components and packing are beyond SQL; tests/llm/test_pipeline.py holds the stages against plain versions.
+#: Learned scores, components and packing are beyond SQL; tests/llm/test_texts_and_media.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
