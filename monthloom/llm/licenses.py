@@ -2,7 +2,9 @@
 
 Texts are cut into overlapping blocks of 2 * S words with stride S, S being the longest template, so that any S words in a
 row lie in one block. A template is found in a block when the block's set of words holds at least `percent` of the
-template's. Template words are put in order of their frequency over all documents, rarest first. If a block
+template's, or all but `changed` of them where no word of NAMES is missing and no word of KIN says that it is a sister of
+the license. A template of fewer than SHORT distinct words has to stand so within a run of its length and `changed` words more,
+in its order; that many stray words come together in any text. Template words are put in order of their frequency over all documents, rarest first. If a block
 holds enough of a template, it holds one of the first size - need + 1 words of it (prefix filter); a block with fewer
 distinct words than are needed is out (length filter); and after the first match at place i of the order at most
 size - i words can match (positional filter). What is left is counted out.
@@ -17,6 +19,7 @@ Ties of word frequency go by the word. An empty table gives an empty result. Oth
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +43,15 @@ TEMPLATES = {
     "mpl-2": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
 }
 
+#: Words that name a license or its version; a template with one of them missing is another license's text.
+NAMES = frozenset(b"affero apache attribution cc commons creative general gnu mit mozilla nc noncommercial public 2 3 4".split())
+
+#: Words that turn a license's name into that of a sister.
+KIN = frozenset(b"affero lesser nc noncommercial noderivatives sharealike".split())
+
+#: Distinct words from which on words missing from a template need no order.
+SHORT = 10
+
 #: Bytes of words: letters, digits and all beyond ASCII, with A-Z in lower case; every other byte becomes a space.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -52,23 +64,47 @@ def words_of(raw: bytes) -> list[bytes]:
 class Templates:
     """Templates with their words in frequency order, and the index of their prefixes."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[bytes, int], percent: int):
+    def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[bytes, int], percent: int, changed: int = 0):
         order = lambda w: (frequency.get(w, 0), w)
         self.all = [(label, sorted({*words_of(t.encode())}, key=order)) for label, ts in sorted(templates.items()) for t in ts]
-        self.need = [-(-percent * len(ws) // 100) for _, ws in self.all]
+        self.close = [-(-percent * len(ws) // 100) for _, ws in self.all]
+        self.need = [min(n, len(ws) - changed) for n, (_, ws) in zip(self.close, self.all, strict=True)]
+        self.runs = [self.reworded(words_of(t.encode()), changed) if len(ws) < SHORT else None for t, (_, ws) in zip((t for _, ts in sorted(templates.items()) for t in ts), self.all, strict=True)]
         self.stride = max(len(words_of(t.encode())) for ts in templates.values() for t in ts)
         self.prefix = defaultdict(list)
         for k, (_, ws) in enumerate(self.all):
             for i, w in enumerate(ws[: len(ws) - self.need[k] + 1]):
                 self.prefix[w].append((k, i))
 
+    @staticmethod
+    def reworded(words: list[bytes], changed: int) -> tuple[int, list[list[bytes]]]:
+        """Longest run, and what is left of the words without `changed` of those that are not names."""
+        plain = [i for i, w in enumerate(words) if w not in NAMES]
+        return len(words) + changed, [[w for i, w in enumerate(words) if i not in out] for out in combinations(plain, changed)]
+
+    def allows(self, k: int, block: list[bytes]) -> bool:
+        """Whether a block that lacks words of a template states its license all the same."""
+        ws = self.all[k][1]
+        if not NAMES.intersection(ws) <= {*block} or not KIN.isdisjoint({*block}.difference(ws)):
+            return False
+        if self.runs[k] is None:
+            return True
+        length, left = self.runs[k]
+        for at in range(max(1, len(block) - length + 1)):
+            for kept in left:
+                run = iter(block[at : at + length])
+                if all(w in run for w in kept):
+                    return True
+        return False
+
     def best(self, words: list[bytes], hits: list[int]) -> dict[int, float]:
         """Template -> highest containment in a block of words, for those that meet the threshold. hits: places of prefix words."""
         found: dict[int, float] = {}
         s = self.stride
         last = max(0, -(-len(words) // s) - 2)  # the block that reaches the end
         for at in sorted({b for i in hits for b in (min(i // s, last), min(max(i // s - 1, 0), last))}):
-            block = set(words[at * s : at * s + 2 * s])
+            run = words[at * s : at * s + 2 * s]
+            block = set(run)
             first = {}
             for w in block & self.prefix.keys():
                 for k, i in self.prefix[w]:
@@ -77,7 +113,7 @@ class Templates:
                 ws = self.all[k][1]
                 if len(block) >= self.need[k] and len(ws) - i >= self.need[k] and found.get(k, 0) < 1:
                     share = sum(w in block for w in ws[i:])
-                    if share >= self.need[k]:
+                    if share >= self.close[k] or share >= self.need[k] and self.allows(k, run):
                         found[k] = max(found.get(k, 0.0), share / len(ws))
         return found
 
@@ -95,11 +131,11 @@ def word_counts(docs: DataFrame, words: frozenset[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in map_batches(docs.select("text"), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases: dict[str, str] = PHRASES, percent: int = 95, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, phrases: dict[str, str] = PHRASES, percent: int = 95, text: str = "text", doc_id: str = "doc_id", changed: int = 0) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     vocabulary = frozenset(w for ts in templates.values() for t in ts for w in words_of(t.encode()))
-    known = Templates(templates, word_counts(docs, vocabulary), percent)
+    known = Templates(templates, word_counts(docs, vocabulary), percent, changed)
     wanted = [(tuple(words_of(p.encode())), label) for p, label in phrases.items()]
 
     def run(batches):

@@ -172,6 +172,32 @@ def test_license_scan_equals_brute_force(spark, sf):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string, labels string")).count() == 0
 
 
+#: A reworded statement of each template, and texts of none.
+REWORDED = [
+    ("licensed under gnu affero general public license version 3", "agpl-3"), ("licensed under apache license version 2", "apache-2"),
+    ("you may not use this file except in compliance with the licence you might obtain a copy of this licence at", "apache-2"),
+    ("you may not use this file except in compliance with its license you can obtain one copy of the license at", "apache-2"),
+    ("redistribution and use in source and binary forms with or without changes are permitted provided that the following conditions are met", "bsd"),
+    ("this text is licensed under a creative commons attribution 4 0 international license", "cc-by"), ("available under cc by nc 4", "cc-by-nc"),
+    ("licensed under the creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("this program is licensed under the gnu general public license version 3", "gpl-3"),
+    ("it under the terms of the gnu general public license as issued by the free software foundation", "gpl-3"),
+    ("permission to use copy modify and or distribute the software for any purpose with or without fee is hereby granted", "isc"), ("released under a mit license", "mit"),
+    ("permission is hereby granted free of charge to any one obtaining a copy of this software and associated documentation files", "mit"),
+    ("this source code file is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    ("licensed under the gnu general public license version 3", ""), ("licensed under a creative commons attribution 4 0 international license", ""),
+    ("einheit mit einer licensed under the apache license version 2 0", "apache-2"), ("released under the bsd license", ""), ("licensed under cc by 4", ""), ("licensed under the apache license version 1", ""),
+]
+
+
+def test_reworded_licenses_have_their_labels(spark, tmp_path):
+    from monthloom.llm import queries
+
+    spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REWORDED)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.labels for r in queries.op10_license_scan(spark, str(tmp_path)).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(REWORDED)] == REWORDED
+
+
 def test_url_parts_rules_and_reputation(spark):
     cases = [
         ("http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"), ("https://b.net", "b.net", "", None, "allow"), ("https://b.net/", "b.net", "/", "net/", "block"),
