@@ -1,10 +1,10 @@
 """Near-duplicate groups: banded MinHash, sequential Bayesian verification, exact confirmation, components.
 
 1. A map over the texts gives each document its set size, a 128-bit digest of its set of word shingles, and a signature
-   of bands * rows minima. Equal sets form a class with the smallest doc_id as its representative; only representatives
-   go on, so a group of copies is one row however many rows it has.
+   of bands * rows minima. Equal sets form a class, with a number of its own and the smallest doc_id as its representative; only
+   classes go on, so a group of copies is one row however many rows it has.
 2. Each band of a signature is a bucket key. Buckets of two or more give candidates: first each member with the bucket's
-   smallest id (a star, linear in the bucket), whatever the bucket's size.
+   smallest class (a star, linear in the bucket), whatever the bucket's size.
 3. A candidate's signatures are compared batch by batch. With m of n values equal and a uniform prior the similarity has
    a Beta(m + 1, n - m + 1) posterior; the pair is pruned once P(similarity >= threshold) is below `miss`.
 4. Survivors are confirmed on the full sets of words, and components found.
@@ -70,6 +70,10 @@ def shingle_hashes(raw: bytes, n: int) -> np.ndarray:
     return np.unique(mix64(out))
 
 
+def digest(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def minima(sets: list[np.ndarray], rule: Rule) -> np.ndarray:
     """A signature for each non-empty set; hash functions are xor and odd multiplication on 32 bits."""
     rng = np.random.default_rng(rule.seed)
@@ -101,7 +105,7 @@ def signatures(docs: DataFrame, rule: Rule, text: str = "text", doc_id: str = "d
             full = [s for s in sets if len(s)]
             rows = iter(minima(full, rule) if full else ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
+                [b.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
                 ["doc_id", "n_shingles", "digest", "signature"],
             )
 
@@ -118,7 +122,7 @@ def band_keys(sig: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def banded(classes: DataFrame, rule: Rule) -> DataFrame:
-    """key, band, rep for every band of every class."""
+    """key, band, cls, rep for every band of every class."""
 
     def run(batches):
         for b in batches:
@@ -126,9 +130,9 @@ def banded(classes: DataFrame, rule: Rule) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(b.column("signature").to_pylist()), np.uint32).reshape(len(b), -1)
             keys = band_keys(sig, rule)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(rule.bands, dtype=np.int32), len(b))), pa.array(np.repeat(b.column("rep").to_numpy(), rule.bands))], ["key", "band", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(rule.bands, dtype=np.int32), len(b))), *(pa.array(np.repeat(b.column(c).to_numpy(), rule.bands)) for c in ("cls", "rep"))], ["key", "band", "cls", "rep"])
 
-    return map_batches(classes.select("rep", "signature"), run, "key long, band int, rep long")
+    return map_batches(classes.select("cls", "rep", "signature"), run, "key long, band int, cls long, rep long")
 
 
 def least_matches(rule: Rule) -> list[tuple[int, int]]:
@@ -157,18 +161,18 @@ def not_pruned(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def survivors(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that the posterior bound does not prune."""
-    sig = classes.select("rep", "signature")
-    wide = pairs.join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b").join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
+    """a, b, da, db: the representatives and digests of the pairs of classes (x, y) that the posterior bound does not prune."""
+    sig = classes.select("cls", "digest", "signature")
+    wide = pairs.join(sig.toDF("y", "db", "sb"), "y").join(sig.toDF("x", "da", "sa"), "x")
 
     def run(batches):
         for x in batches:
             if len(x):
                 sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint32).reshape(len(x), -1) for c in ("sa", "sb"))
                 keep = pa.array(not_pruned(sa, sb, rule))
-                yield pa.RecordBatch.from_arrays([x.column("a").take(keep), x.column("b").take(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([x.column(c).take(keep) for c in ("a", "b", "da", "db")], ["a", "b", "da", "db"])
 
-    return map_batches(wide.select("a", "b", "sa", "sb"), run, "a long, b long")
+    return map_batches(wide.select("a", "b", "da", "db", "sa", "sb"), run, "a long, b long, da binary, db binary")
 
 
 def grouped(batches, keys: int):
@@ -185,8 +189,8 @@ def grouped(batches, keys: int):
         yield now, held
 
 
-def bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, body (compressed text) of the documents with these ids. Other texts do not leave the scan but by chance."""
+def bodies(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
+    """digest, body (compressed text) of the sets of the documents with these ids. Other texts do not leave the scan but by chance."""
     wanted = KeyFilter.of(ids)
 
     def read(batches):
@@ -194,22 +198,23 @@ def bodies(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for b in batches:
             keys = b.column("id").fill_null(-1).to_numpy()
             at = pa.array(np.flatnonzero(wanted.test(keys.view(np.uint64))))
-            some = pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("text").take(at)], ["id", "text"])
-            yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([pack(x) for x in raw_texts(some)], pa.binary())], ["id", "body"])
+            raws = raw_texts(pa.RecordBatch.from_arrays([b.column("text").take(at)], ["text"]))
+            yield pa.RecordBatch.from_arrays([pa.array([digest(shingle_hashes(x, rule.words)) for x in raws], pa.binary()), pa.array([pack(x) for x in raws], pa.binary())], ["digest", "body"])
 
-    return map_batches(docs.select(F.col("doc_id").alias("id"), "text"), read, "id long, body binary").dropDuplicates(["id"])
+    return map_batches(docs.select(F.col("doc_id").alias("id"), "text"), read, "digest binary, body binary").dropDuplicates(["digest"])
 
 
 def across(members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Links across components of buckets (key, band, rep, component, n), found in blocks of about BLOCK rows.
+    """Links across components of buckets (key, band, cls, rep, component, n), found in blocks of about BLOCK rows.
 
     A link joins its components within the block, so a block gives fewer links than it has rows, and a document is
     compared no more with those it is already joined to.
     """
-    blocks = members.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "band")
-    whole = classes.select("rep", "signature").join(bodies(docs, members.select("rep").distinct()).withColumnRenamed("id", "rep"), "rep")
-    wide = dealt.join(whole, "rep").select("key", "i", "j", "block", "rep", "component", "band", "signature", "body")
+    blocks = members.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
+    blocks = blocks.join(classes.select("cls", "digest"), "cls")
+    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "band", "digest")
+    whole = classes.select("digest", "signature").join(bodies(docs, members.select("rep").distinct(), rule), "digest")
+    wide = dealt.join(whole, "digest").select("key", "i", "j", "block", "rep", "component", "band", "signature", "body")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
@@ -250,11 +255,11 @@ def shingle_set(raw: bytes, n: int) -> set:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs that are linked by their full sets of words. Only texts that occur in a pair leave the scan."""
+    """The pairs (a, b) whose sets (da, db) are linked by their full sets of words. Only texts that occur in a pair leave the scan."""
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = bodies(docs, ids)
-    wide = pairs.join(texts.select(F.col("id").alias("b"), F.col("body").alias("bb")), "b").join(texts.select(F.col("id").alias("a"), F.col("body").alias("ba")), "a")
+    texts = bodies(docs, ids, rule)
+    wide = pairs.join(texts.toDF("db", "bb"), "db").join(texts.toDF("da", "ba"), "da")
 
     def run(batches):
         unpack, near = zstandard.ZstdDecompressor().decompress, OrderedDict()
@@ -267,7 +272,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             return near[key]
 
         for x in batches:
-            a, b = x.column("a").to_pylist(), x.column("b").to_pylist()
+            a, b = x.column("da").to_pylist(), x.column("db").to_pylist()
             keep = []
             for k, (i, j, bi, bj) in enumerate(zip(a, b, x.column("ba").to_pylist(), x.column("bb").to_pylist(), strict=True)):
                 p, q = whole(i, bi), whole(j, bj)
@@ -277,7 +282,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([x.column("a").take(at), x.column("b").take(at)], ["a", "b"])
 
-    return map_batches(wide.select("a", "b", "ba", "bb"), run, "a long, b long")
+    return map_batches(wide.select("a", "b", "da", "db", "ba", "bb"), run, "a long, b long")
 
 
 def groups(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -285,12 +290,12 @@ def groups(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signatures(docs, rule), "signatures")
     real = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    by_set = cut(real.groupBy(F.col("digest").alias("set")).agg(F.min("doc_id").alias("rep")))
-    classes = stored(real.join(by_set, (F.col("digest") == F.col("set")) & (F.col("doc_id") == F.col("rep"))).select("rep", "digest", "signature").dropDuplicates(["digest"]), "classes")
+    by_set = cut(real.groupBy(F.col("digest").alias("set")).agg(F.min("doc_id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()))  # several classes may have one rep
+    classes = stored(real.join(by_set, (F.col("digest") == F.col("set")) & (F.col("doc_id") == F.col("rep"))).select("cls", "rep", "digest", "signature").dropDuplicates(["digest"]), "classes")
     keys = banded(classes, rule)
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where(F.col("n") > 1)
+    buckets = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.min_by("rep", "cls").alias("lead_rep"), F.count("*").alias("n")).where(F.col("n") > 1)
     members = stored(keys.join(buckets, "key"), "members")
-    stars = members.where(F.col("rep") != F.col("lead")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    stars = members.where(F.col("rep") != F.col("lead_rep")).select(F.col("lead").alias("x"), F.col("cls").alias("y"), F.col("lead_rep").alias("a"), F.col("rep").alias("b")).distinct()
     # a doc_id with rows of different texts links their classes
     several = real.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").join(real.select("doc_id", "digest"), "doc_id")
     same = several.join(by_set, F.col("digest") == F.col("set")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).select("a", F.explode("all").alias("b")).where("a != b")

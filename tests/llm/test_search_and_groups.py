@@ -110,6 +110,12 @@ def test_groups_of_odd_tables(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in left.collect()) == [(False, 3), (False, 8), (True, 0), (True, 0)]
 
 
+def test_an_id_with_two_texts_is_linked_by_each(spark):
+    (a, near_a, *_), (b, near_b, *_) = family(11, 3, 120, 2), family(12, 3, 120, 2)
+    rows = [(1, a), (1, b), (2, near_a + " end"), (3, near_b + " end"), (4, a), (0, b + " more"), (9, "one other text")]
+    assert [(i, c) for i, _, c in grouped(spark, rows, minhash.Rule(words=3, percent=80))] == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0), (9, 9)]
+
+
 def test_posterior_bound_keeps_similar_pairs():
     rule = minhash.Rule(words=3, percent=85)
     rng = np.random.default_rng(0)
