@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +54,82 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder, noted for clear()."""
+    path = f"{shared_dir(spark).rstrip('/')}/monthloom/{name}-{uuid.uuid4().hex}"
+    _scratch.add(path)
+    return path
+
+
+_scratch: set[str] = set()
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts the lineage and lets later steps read single columns."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/monthloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder, removed by Spark's cleaner once unused; for small intermediate tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """stored() for small intermediate tables; computes its rows once, where a checkpoint does so twice."""
+    return stored(df, "cut", "lz4")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _scratch.discard(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of stored tables that nothing will read again."""
+    for df in tables:
+        if df is not None:
+            _delete(df.sparkSession, df.scratch_path)
+
+
+@contextmanager
+def cleared(spark: SparkSession):
+    """Deletes at its end what was stored within it; for steps whose result has been written by then."""
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        for path in _scratch - before:
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has stored; results that have not been read yet are lost."""
+    for path in list(_scratch):
+        _delete(spark, path)
+
+
+#: Keys that a join treats as hot: those with more rows than HOT_ROWS and than a share of 1 / HOT_KEYS, so there are fewer than HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def joined(rows: DataFrame, one: DataFrame, key: str, spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined with `one` (a row for each key), where a key may hold any share of rows.
+
+    A hot key's rows are dealt over salts by a hash of the columns `spread`, its row of `one` is repeated for each salt. Only the
+    hot keys with their counts are broadcast, fewer than HOT_KEYS rows. counts (key, n) spares a pass over rows.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    counts = counts.select(key, F.col("n").alias("__n")).where(F.col(key).isNotNull())
+    many = cut(counts.where(F.col("__n") > HOT_ROWS))
+    total = many.agg(F.sum("__n")).first()[0]
+    if total is None:
+        return rows.join(one, key, how)
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(many.where(F.col("__n") > least).select(key, F.ceil(F.col("__n") / least).cast("int").alias("__salts")))
+    left = rows.join(hot, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    right = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0))))).drop("__salts")
+    return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,6 +159,8 @@ class Memo(dict):
 
 #: A membership filter has at most so many bits (8 MB), whatever the number of ids; beyond that it only lets more rows through.
 FILTER_BITS = 1 << 26
+#: Bits of a page. All bits of a key lie on one page, so that a page is made by one task and the driver joins pages end to end.
+PAGE = 1 << 19
 
 
 class KeyFilter:
@@ -103,12 +171,12 @@ class KeyFilter:
 
     @staticmethod
     def positions(keys: np.ndarray, size: int) -> list[np.ndarray]:
-        h = mix64(keys.astype(np.uint64))
+        k = keys.astype(np.uint64)
+        width = min(size, PAGE)
+        page = (k ^ k >> np.uint64(9) ^ k >> np.uint64(23) ^ k >> np.uint64(41)) & np.uint64(size // width - 1)
+        h = mix64(k)
         low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        return [(low + np.uint64(i) * high) & np.uint64(size - 1) for i in range(4)]
-
-    def __contains__(self, key: int) -> bool:
-        return bool(self.test(np.array([key], dtype=np.uint64))[0])
+        return [page * np.uint64(width) + ((low + np.uint64(i) * high) & np.uint64(width - 1)) for i in range(4)]
 
     def test(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), dtype=bool)
@@ -118,25 +186,28 @@ class KeyFilter:
 
     @classmethod
     def of(cls, keys: DataFrame) -> "KeyFilter":
-        """Built by the executors from a frame with one long column: each task returns its set pages, the driver joins them by OR."""
+        """Built by the executors from a frame with one long column, dealt by page; the driver gets each page once."""
         name = keys.columns[0]
         n = keys.count()
         size = 1 << 13
         while size < min(16 * n, FILTER_BITS):
             size <<= 1
+        width = min(size, PAGE)
 
         def pages(batches):
-            bits = np.zeros(size // 8, dtype=np.uint8)
+            held: dict[int, np.ndarray] = {}
             for b in batches:
                 for p in cls.positions(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), size):
-                    np.bitwise_or.at(bits, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-            width = min(len(bits), 1 << 16)
-            page = np.arange(len(bits) // width)
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int32()), pa.array([bits[i * width : (i + 1) * width].tobytes() for i in page], pa.binary())], ["page", "bits"])
+                    at, bit = (p // np.uint64(width)).astype(np.int64), (p % np.uint64(width)).astype(np.int64)
+                    for page in np.unique(at).tolist():
+                        held.setdefault(page, np.zeros(width, bool))[bit[at == page]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["page", "bits"])
 
+        k = F.col(name)
+        page = k.bitwiseXOR(F.shiftrightunsigned(k, 9)).bitwiseXOR(F.shiftrightunsigned(k, 23)).bitwiseXOR(F.shiftrightunsigned(k, 41)).bitwiseAND(F.lit(size // width - 1))
         bits = np.zeros(size // 8, dtype=np.uint8)
-        few = map_batches(keys.select(name).coalesce(4), pages, "page int, bits binary")
-        for row in few.toLocalIterator():
+        dealt = keys.where(k.isNotNull()).select(name, page.alias("page")).repartition(max(1, size // width), "page").select(name)
+        for row in map_batches(dealt, pages, "page int, bits binary").toLocalIterator():
             part = np.frombuffer(row.bits, dtype=np.uint8)
             bits[row.page * len(part) : (row.page + 1) * len(part)] |= part
         return cls(bits, size)

@@ -9,13 +9,16 @@
    a Beta(m + 1, n - m + 1) posterior; the pair is pruned once P(similarity >= threshold) is below `miss`.
 4. Survivors are confirmed on the full sets of words, and components found.
 5. Buckets whose members are still in several components have their pairs across components compared the same way, in
-   blocks of bounded size inside numpy, likeliest first; sets are confirmed there by 64-bit hashes of all their
-   shingles. Pairs within one component need no comparison, as a further link would change nothing.
+   blocks of bounded size inside numpy, likeliest first, and confirmed on the words. Pairs within one component need no
+   comparison, as a further link would change nothing; so a bucket's largest component is dealt against the others only.
+
+Keys that hold many rows (a set with many copies, a lead, a bucket) are salted in every join (common.joined).
 
 At 27 bands of 5 rows a pair with similarity 0.85 fails to share a bucket with probability 2e-7 (2e-5 at 0.8).
 
 Cases: a text that is null or has no words has an empty set, is linked with nothing and kept. Fewer words than a shingle:
 the whole sequence is the one shingle. Rows that repeat a doc_id give one row (its largest set; linked as any of them).
+Two sets count as equal when the 128-bit digests of their shingles' 64-bit hashes are; all other links are confirmed on words.
 Rows with a null doc_id give one row with a null component, kept. An empty table gives an empty result.
 """
 
@@ -32,10 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, Memo, cut, map_batches, mix64, raw_texts, stored
+from .common import KeyFilter, Memo, cut, discard, joined, map_batches, mix64, raw_texts, stored
 from .graph import components
 
 KEPT_WORDS, CHUNK, BLOCK = 500_000, 1 << 15, 256
+#: Shingles of a usual text, and the hashes that a block's comparison holds at once.
+LONG, HELD = 2000, 4_000_000
 _words = Memo(xxhash.xxh3_64_intdigest, KEPT_WORDS)
 
 
@@ -163,7 +168,8 @@ def not_pruned(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
 def survivors(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """a, b, da, db: the representatives and digests of the pairs of classes (x, y) that the posterior bound does not prune."""
     sig = classes.select("cls", "digest", "signature")
-    wide = pairs.join(sig.toDF("y", "db", "sb"), "y").join(sig.toDF("x", "da", "sa"), "x")
+    lead = pairs.groupBy("x").agg(F.count("*").alias("n"))
+    wide = joined(pairs.join(sig.toDF("y", "db", "sb"), "y"), sig.toDF("x", "da", "sa"), "x", ["y"], counts=lead)
 
     def run(batches):
         for x in batches:
@@ -204,28 +210,48 @@ def bodies(docs: DataFrame, ids: DataFrame, rule: Rule) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").alias("id"), "text"), read, "digest binary, body binary").dropDuplicates(["digest"])
 
 
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """members (key, cls, rep, component, n_shingles, ...) with (i, j, block): the pairs of blocks in which each is compared.
+
+    A bucket's largest component is compared with the others but not with itself. Blocks have about BLOCK rows and about
+    BLOCK * LONG shingles, so long texts make small blocks.
+    """
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("long"))
+    whole = parts.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("n"))
+    sides = joined(parts, whole.select("key", "main"), "key", ["component"]).groupBy("key").agg(F.first("main").alias("main"), *[F.sum(F.when(F.col("component") == F.col("main") if main else F.col("component") != F.col("main"), F.col(c))).alias(c + str(main)) for main in (0, 1) for c in ("k", "long")])
+    of = lambda main: F.ceil(F.greatest(F.col(f"k{main}"), F.col(f"long{main}") / LONG) / BLOCK).cast("int")
+    sides = cut(sides.select("key", "main", of(0).alias("few"), of(1).alias("many")))
+    rows = joined(members, sides, "key", ["cls"], counts=whole)
+    rest, at = F.col("component") != F.col("main"), F.xxhash64("cls")
+    rows = rows.withColumn("block", F.when(rest, F.pmod(at, F.col("few"))).otherwise(F.col("few") + F.pmod(at, F.col("many"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
+    return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "main", "few", "many")
+
+
 def across(members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """Links across components of buckets (key, band, cls, rep, component, n), found in blocks of about BLOCK rows.
+    """Links across components of buckets (key, band, cls, rep, component), found in blocks.
 
     A link joins its components within the block, so a block gives fewer links than it has rows, and a document is
-    compared no more with those it is already joined to.
+    compared no more with those it is already joined to. Sets are compared by hashes, and a link is confirmed on its words.
     """
-    blocks = members.withColumn("of", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
-    blocks = blocks.join(classes.select("cls", "digest"), "cls")
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "band", "digest")
+    blocks = dealt_blocks(joined(members, classes.select("cls", "digest", "n_shingles"), "cls", ["key"]))
     whole = classes.select("digest", "signature").join(bodies(docs, members.select("rep").distinct(), rule), "digest")
-    wide = dealt.join(whole, "digest").select("key", "i", "j", "block", "rep", "component", "band", "signature", "body")
+    wide = joined(blocks.select("key", "i", "j", "block", "rep", "component", "band", "digest"), whole, "digest", ["key", "i", "j"]).select("key", "i", "j", "block", "rep", "component", "band", "signature", "body")
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for (_, i, j), rows in grouped(batches, 3):
             block, rep, part = (np.array([r[c] for r in rows], np.int64) for c in range(3))
             band, sig = rows[0][3], np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), -1)
-            bands, sets, links = sig.reshape(len(rows), rule.bands, rule.rows), {}, []
+            bands, sets, links, room = sig.reshape(len(rows), rule.bands, rule.rows), OrderedDict(), [], 0
 
             def full(x):
+                nonlocal room
                 if x not in sets:
                     sets[x] = shingle_hashes(unpack(rows[x][5]), rule.words)
+                    room += len(sets[x])
+                    while room > HELD and len(sets) > 2:
+                        room -= len(sets.popitem(last=False)[1])
                 return sets[x]
 
             for x in range(len(rows)):
@@ -238,8 +264,9 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, rule: Rule)
                     ys = ys[not_pruned(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys], rule)]
                 for y in ys[np.argsort(-(sig[ys] == sig[x]).sum(axis=1), kind="stable")].tolist():
                     if part[x] != part[y]:
-                        both = len(np.intersect1d(full(x), full(y), assume_unique=True))
-                        if 100 * both >= rule.percent * (len(full(x)) + len(full(y)) - both):
+                        p, q = full(x), full(y)
+                        both = len(np.intersect1d(p, q, assume_unique=True))
+                        if 100 * both >= rule.percent * (len(p) + len(q) - both) and similar(shingle_set(unpack(rows[x][5]), rule.words), shingle_set(unpack(rows[y][5]), rule.words), rule):
                             links.append((rep[x], rep[y]))
                             part[part == part[y]] = part[x]
             if links:
@@ -254,12 +281,17 @@ def shingle_set(raw: bytes, n: int) -> set:
     return set(zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else {tuple(words)} if words else set()
 
 
+def similar(p: set, q: set, rule: Rule) -> bool:
+    both = len(p & q)
+    return 100 * both >= rule.percent * (len(p) + len(q) - both)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) whose sets (da, db) are linked by their full sets of words. Only texts that occur in a pair leave the scan."""
     pairs = cut(pairs.distinct())
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = bodies(docs, ids, rule)
-    wide = pairs.join(texts.toDF("db", "bb"), "db").join(texts.toDF("da", "ba"), "da")
+    wide = joined(pairs.join(texts.toDF("db", "bb"), "db"), texts.toDF("da", "ba"), "da", ["db"], counts=pairs.groupBy("da").agg(F.count("*").alias("n")))
 
     def run(batches):
         unpack, near = zstandard.ZstdDecompressor().decompress, OrderedDict()
@@ -275,9 +307,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
             a, b = x.column("da").to_pylist(), x.column("db").to_pylist()
             keep = []
             for k, (i, j, bi, bj) in enumerate(zip(a, b, x.column("ba").to_pylist(), x.column("bb").to_pylist(), strict=True)):
-                p, q = whole(i, bi), whole(j, bj)
-                both = len(p & q)
-                if 100 * both >= rule.percent * (len(p) + len(q) - both):
+                if similar(whole(i, bi), whole(j, bj), rule):
                     keep.append(k)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([x.column("a").take(at), x.column("b").take(at)], ["a", "b"])
@@ -290,28 +320,46 @@ def groups(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = stored(signatures(docs, rule), "signatures")
     real = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    by_set = cut(real.groupBy(F.col("digest").alias("set")).agg(F.min("doc_id").alias("rep")).withColumn("cls", F.monotonically_increasing_id()))  # several classes may have one rep
-    classes = stored(real.join(by_set, (F.col("digest") == F.col("set")) & (F.col("doc_id") == F.col("rep"))).select("cls", "rep", "digest", "signature").dropDuplicates(["digest"]), "classes")
+    # a set has one signature; several classes may have one rep, as an id may have rows of different texts
+    by_set = real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    classes = stored(by_set.withColumn("cls", F.monotonically_increasing_id()), "classes")
     keys = banded(classes, rule)
-    buckets = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.min_by("rep", "cls").alias("lead_rep"), F.count("*").alias("n")).where(F.col("n") > 1)
-    members = stored(keys.join(buckets, "key"), "members")
-    stars = members.where(F.col("rep") != F.col("lead_rep")).select(F.col("lead").alias("x"), F.col("cls").alias("y"), F.col("lead_rep").alias("a"), F.col("rep").alias("b")).distinct()
-    # a doc_id with rows of different texts links their classes
-    several = real.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").join(real.select("doc_id", "digest"), "doc_id")
-    same = several.join(by_set, F.col("digest") == F.col("set")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("all")).select("a", F.explode("all").alias("b")).where("a != b")
+    buckets = cut(keys.groupBy("key").agg(F.min("cls").alias("lead"), F.min_by("rep", "cls").alias("lead_rep"), F.count("*").alias("n")).where(F.col("n") > 1))
+    members = stored(joined(keys, buckets, "key", ["cls"], counts=buckets), "members")
+    stars = cut(members.where(F.col("rep") != F.col("lead_rep")).select(F.col("lead").alias("x"), F.col("cls").alias("y"), F.col("lead_rep").alias("a"), F.col("rep").alias("b")).distinct())
+    # a doc_id with rows of different texts is itself a link between their classes
+    texts = real.select("doc_id", "digest").distinct()
+    several = texts.join(texts.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "doc_id")
+    same = several.join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     links = cut(confirmed(survivors(stars, classes, rule), docs, rule).unionByName(same))
     first = cut(components(links))
-    parted = members.where("n > 2").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = parted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    rest = cut(across(cut(parted.join(open_keys, "key", "left_semi")), classes, docs, rule))
-    if not rest.isEmpty():
-        first = cut(components(links.unionByName(rest)))
+    parted = members.where("n > 2").select("key", "band", "cls", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    open_keys = cut(parted.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("key", "n"))
+    if not open_keys.isEmpty():
+        rest = cut(across(cut(joined(parted, open_keys.select("key"), "key", ["cls"], counts=open_keys)), classes, docs, rule))
+        if not rest.isEmpty():
+            first = cut(components(links.unionByName(rest)))
+    discard(buckets, members, stars, links)
     labels = classes.select("rep", "digest").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    named = rows.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    named = joined(rows.select("doc_id", "n_shingles", "digest"), labels, "digest", ["doc_id"], "left", counts=classes.select("digest", "n")).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
     return named.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.when(F.col("doc_id").isNotNull(), F.col("component"))).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+OWN = "__minhash_"
+
+
 def one_of_each(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs but for documents that are not the first of their group. All columns stay."""
-    gone = groups(docs, rule, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id].cast("long") == gone["__gone"], "left_anti")
+    """One row of docs for each document that is the first of its group; of rows that repeat its id, the first by their hash.
+
+    Rows without an id are no document's copies by id and stay. All columns stay.
+    """
+    key = OWN + "id"
+    gone = groups(docs, rule, text, doc_id).where("NOT kept").select(F.col("doc_id").alias(key))
+    rows = docs.withColumn(key, F.col(doc_id).cast("long"))
+    again = cut(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
+    if not again.isEmpty():  # combined before the shuffle, so an id may have any share of the rows
+        marked = joined(rows, again.select(key, F.lit(True).alias(OWN + "again")), key, [doc_id, text], "left", counts=again)
+        plain = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        once = marked.where(OWN + "again").groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(*plain)).alias(OWN + "row")).select(OWN + "row.*", key)
+        rows = marked.where(F.col(OWN + "again").isNull()).select(*docs.columns, key).unionByName(once)
+    return rows.join(gone, key, "left_anti").select(*docs.columns)

@@ -2,17 +2,23 @@
 
 A document's token ids are hashed, and each hash is a row of DIMENSIONS uniform numbers: a random projection of the
 document's hashed bag of tokens. Their mean, scaled, is squeezed to a grid of 2 ** GRID cells a side, and the cell's place
-on the Hilbert curve is the document's key. Documents are range-partitioned and sorted by key (ties by a hash of the id, so that
-a group of copies splits over partitions) and laid end to end; every 1024 tokens are a sequence. What is left at the
-end of a partition is laid into sequences whose lengths are powers of two, so nothing is padded.
+on the Hilbert curve is the document's key. The curve is cut into stretches of about STRETCH bytes of ids (more beyond STRETCHES of them). A stretch's documents
+are sorted by key (ties by a hash of the id, so that a group of copies splits over stretches) and laid end to end; every
+1024 tokens are a sequence. What is left at the end of a stretch is laid into sequences whose lengths are powers of two,
+so nothing is padded.
 
-Scale: texts become packed ids once, stored in the shared folder; one range shuffle moves them; a partition is packed in
-one pass that holds one document at a time. Sequence ids are a partition's number and a count, so partitions need not
-know of each other.
+Where the curve is cut is decided once, from the stored keys: documents picked by a hash of their key, about PICKED a stretch,
+and every (key, hash of id) with a large share of the bytes. The cuts are numbers in the plan, so each action, retry and
+session deals the same rows to the same stretch, and a piece depends on its stretch alone, however stretches are dealt to tasks.
+
+Scale: texts become packed ids once, stored in the shared folder; one shuffle moves them; a stretch is packed in one pass
+that holds one document and one sequence at a time. Their number follows from the stored bytes. Sequence ids are a stretch's
+number and a count, so stretches need not know of each other. The driver gets the picked keys, a bounded number a stretch.
 
 Cases: null and empty texts are the closing id 0 alone. Repeated rows (as after mixing) are packed each, with equal
-doc_ids; (sequence_id, offset) tells their pieces apart. A null id stays null. Very long documents take many
-sequences. An empty table gives an empty result. Other columns are not read.
+doc_ids; (sequence_id, offset) tells their pieces apart; where rows of one id fill more than a stretch, they are split by a hash of
+the row's number in the stored table. A null id stays null. Very long documents take many sequences. Bytes that are not UTF-8 are
+read as U+FFFD, as Spark shows them. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from . import bytebpe
 from .common import map_batches, mix64, raw_texts, stored
 
 LENGTH, CLOSING = 1024, 0
+STRETCH, STRETCHES, PICKED = 8 << 20, 1 << 15, 100
 DIMENSIONS, GRID, SPREAD = 4, 15, 6.0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -131,63 +138,119 @@ def encoded(docs: DataFrame, vocabulary: str, text: str, doc_id: str) -> DataFra
             raws, ids, means = raw_texts(b), [], np.zeros((len(b), DIMENSIONS))
             for lo in range(0, len(raws), 64):
                 some = raws[lo : lo + 64]
-                got, means[lo : lo + len(some)] = encoder.encode([x.decode() for x in some])
+                got, means[lo : lo + len(some)] = encoder.encode([x.decode(errors="replace") for x in some])
                 ids += [x.astype(f"<u{width}").tobytes() for x in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(hilbert(cell(means), GRID)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 
     return map_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, key long, ids binary")
 
 
-def laid(batches, width: int):
-    """Pieces of the documents of one partition, in order."""
-    from pyspark import TaskContext
+class Pieces:
+    """Rows of PIECES, given out in batches."""
+
+    def __init__(self):
+        self.rows = []
+
+    def add(self, doc, start: int, ids: np.ndarray, whole: int, sequence: int, offset: int) -> None:
+        self.rows.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, sequence, offset))
+
+    def given(self, least: int):
+        if len(self.rows) >= max(least, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*self.rows, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            self.rows = []
 
-    base = TaskContext.get().partitionId() << 40
-    sequence, offset, out = 0, 0, []
-    held = []  # pieces of the sequence that is not full yet: (doc_id, start, ids, doc_tokens)
 
-    def piece(doc, start, ids, whole, seq, at):
-        return doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), whole, base + seq, at
+class Stretch:
+    """Lays one stretch's documents end to end."""
 
-    def batch(rows):
-        kinds = [pa.int64()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+    def __init__(self, number: int, out: Pieces):
+        self.sequence, self.offset, self.held, self.out = number << 40, 0, [], out
 
+    def add(self, doc, ids: np.ndarray) -> None:
+        start = 0
+        while start < len(ids):
+            part = ids[start : start + LENGTH - self.offset]
+            self.held.append((doc, start, part, len(ids)))
+            start, self.offset = start + len(part), self.offset + len(part)
+            if self.offset == LENGTH:
+                self.lay(LENGTH)
+
+    def lay(self, room: int) -> None:
+        """Fills a sequence of so many tokens from what is held."""
+        at = 0
+        while at < room:
+            doc, start, ids, whole = self.held.pop(0)
+            now = ids[: room - at]
+            self.out.add(doc, start, now, whole, self.sequence, at)
+            at += len(now)
+            if len(now) < len(ids):
+                self.held.insert(0, (doc, start + len(now), ids[len(now) :], whole))
+        self.sequence, self.offset = self.sequence + 1, self.offset - room
+
+    def close(self) -> None:
+        while self.offset:  # sequences of falling powers of two
+            self.lay(1 << (self.offset.bit_length() - 1))
+
+
+def laid(batches, width: int):
+    """Pieces of the documents of whole stretches, in order."""
+    out, stretch, now = Pieces(), None, None
     for b in batches:
-        for doc, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-            ids = np.frombuffer(raw, f"<u{width}")
-            start = 0
-            while start < len(ids):
-                part = ids[start : start + LENGTH - offset]
-                held.append((doc, start, part, len(ids)))
-                start, offset = start + len(part), offset + len(part)
-                if offset == LENGTH:
-                    at = 0
-                    for d, s, p, whole in held:
-                        out.append(piece(d, s, p, whole, sequence, at))
-                        at += len(p)
-                    held, sequence, offset = [], sequence + 1, 0
-        if len(out) > 10_000:
-            yield batch(out)
-            out = []
-    # the rest: sequences of falling powers of two
-    room, at = 0, 0
-    sequence -= 1
-    for d, s, p, whole in held:
-        while len(p):
-            if at == room:
-                sequence, room, at = sequence + 1, 1 << (offset.bit_length() - 1), 0
-                offset -= room
-            now = p[: room - at]
-            out.append(piece(d, s, now, whole, sequence, at))
-            at, s, p = at + len(now), s + len(now), p[len(now) :]
-    if out:
-        yield batch(out)
-
-
-def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", partitions: int | None = None) -> DataFrame:
+        for number, doc, raw in zip(*(b.column(c).to_pylist() for c in ("stretch", "doc_id", "ids")), strict=True):
+            if number != now:
+                if stretch is not None:
+                    stretch.close()
+                stretch, now = Stretch(number, out), number
+            stretch.add(doc, np.frombuffer(raw, f"<u{width}"))
+            yield from out.given(10_000)
+    if stretch is not None:
+        stretch.close()
+    yield from out.given(1)
+
+
+def curve_cuts(rows: DataFrame, stretch: int, picked: int) -> list[tuple[int, int, int]]:
+    """(key, tie, mark) at which stretches end, from rows (key, tie, bytes): about so many bytes each."""
+    total = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    stretch = max(stretch, -(-total.b // STRETCHES))
+    n = max(1, -(-total.b // stretch))
+    if n == 1:
+        return []
+    rate = min(1.0, picked * n / total.n)
+    by = rows.groupBy("key", "tie").agg(F.sum("bytes").alias("b"))
+    large = F.col("b") > stretch / 8  # fewer than 8 a stretch
+    low = F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 20)) < int(rate * (1 << 20))
+    got = sorted((r.key, r.tie, r.b if r.large else r.b / rate) for r in by.where(large | low).select("key", "tie", "b", large.alias("large")).collect())
+    step, done, cuts = sum(b for _, _, b in got) / n, 0.0, []
+    for key, tie, b in got:
+        while len(cuts) < n - 1 and done + b >= step * (len(cuts) + 1):
+            share = (step * (len(cuts) + 1) - done) / b
+            cuts.append((key, tie, int(share * (1 << 62)) if b > step / 8 else 0))
+        done += b
+    return cuts
+
+
+def stretch_of(cuts: list[tuple[int, int, int]]):
+    """The number of cuts at or before a row's (key, tie, mark), by halving."""
+    if not cuts:
+        return F.lit(0)
+    keys, ties, marks = (F.lit(np.array(x, np.int64)) for x in zip(*cuts, strict=True))
+
+    def halved(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        k, t, m = (F.get(x, mid) for x in (keys, ties, marks))
+        past = (k < F.col("key")) | (k == F.col("key")) & ((t < F.col("tie")) | (t == F.col("tie")) & (m <= F.col("mark")))
+        more = a["lo"] < a["hi"]
+        return F.struct(F.when(more & past, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(more & ~past, mid).otherwise(a["hi"]).alias("hi"))
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), start, halved, lambda a: a["lo"])
+
+
+def pack(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id", stretch: int = STRETCH) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    rows = stored(encoded(docs, vocabulary, text, doc_id), "encoded").withColumn("tie", F.xxhash64("doc_id"))
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "tie", "doc_id"]
-    return map_batches(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids"), partial(laid, width=2 if max_id(vocabulary) < 1 << 16 else 4), PIECES)
+    coded = encoded(docs, vocabulary, text, doc_id).select("doc_id", "key", "ids", F.xxhash64("doc_id").alias("tie"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 62)).alias("mark"), F.length("ids").cast("long").alias("bytes"))
+    rows = stored(coded, "encoded")
+    cuts = curve_cuts(rows.select("key", "tie", "bytes"), stretch, PICKED)
+    dealt = rows.select("doc_id", "key", "tie", "ids", stretch_of(cuts).alias("stretch")).repartitionById(len(cuts) + 1, F.col("stretch"))
+    ordered = dealt.sortWithinPartitions("stretch", "key", "tie", "doc_id", "ids").select("stretch", "doc_id", "ids")
+    return map_batches(ordered, partial(laid, width=2 if max_id(vocabulary) < 1 << 16 else 4), PIECES)
