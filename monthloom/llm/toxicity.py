@@ -3,14 +3,16 @@
 Terms are words and word beginnings of 3 to 6 letters, hashed. A score is sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>) over
 the distinct terms of a whole text, so a pair of terms, such as an insult with a group's name, has a weight of its own.
 
-Learning: at most SAMPLE labelled rows, the first by a hash of the id. On them each hashed term's presence is
-counted by class; the FEATURES terms that tell the classes apart best stay (others share bucket 0 weight: none). The
-machine is fitted by AdaGrad on the logistic loss. Everything gathered on the driver is bounded by SAMPLE and FEATURES.
+Learning: at most SAMPLE labelled rows, the first by a hash of the id. On them each hashed term's presence is counted by class.
+Terms come in for what they tell alone, the FEATURES with the largest gap between the classes, and for what they tell together:
+of the SCREENED terms that vary most between documents, the pairs whose joint presence departs from what the two tell alone,
+PAIRS of them at most. So an interaction of terms that are as common in either class is learned too. Other terms share
+bucket 0 weight: none. The machine is fitted by AdaGrad on the logistic loss. All that is gathered on the driver is bounded by these.
 
 Scale: the sample's ids are broadcast (at most SAMPLE longs); texts are never shuffled. Scoring is a map over the scan.
 
 Cases: null and empty texts have no terms and get the score of w0. Labels that repeat an id count once, the toxic one
-first; rows without a toxic label or id don't teach. Without labelled rows, or with one class only, the score is that
+first; rows without a toxic label or id don't teach; an id with several texts teaches by one of them, the least by its terms. Without labelled rows, or with one class only, the score is that
 class's share (0 without any). Repeated rows give repeated rows. A null id is not held out. Other columns are not read
 by scoring and stay in filtering.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import Memo, fold, map_batches, raw_texts
 from .licenses import words_of
 
-SAMPLE, FEATURES, BUCKETS, FACTORS = 24_000, 1024, 1 << 20, 8
+SAMPLE, FEATURES, SCREENED, PAIRS, BUCKETS, FACTORS = 24_000, 1024, 1024, 256, 1 << 20, 8
 BEGINNINGS = (3, 4, 5, 6)
 KEPT_WORDS = 400_000
 
@@ -74,8 +76,8 @@ def labelled_sample(labels: DataFrame, size: int, folds: int, held_out: int) ->
     return seen.where(fold("doc_id", folds) != held_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
 
-def telling(sample: DataFrame, features: int) -> dict[int, int]:
-    """The buckets whose presence differs most between the classes, by signed chi-square; at least 4 documents hold each."""
+def telling(sample: DataFrame, features: int, screened: int) -> tuple[list[int], list[int]]:
+    """The buckets whose presence differs most between the classes, and those that vary most; at least 4 documents hold each."""
 
     def run(batches):
         n = np.zeros((2, BUCKETS), np.int64)
@@ -87,11 +89,33 @@ def telling(sample: DataFrame, features: int) -> dict[int, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], ["bucket", "clean", "toxic"])
 
     counts = map_batches(sample.select("toxic", "text"), run, "bucket int, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    counts = counts.where("clean + toxic >= 4")
+    counts = counts.where("clean + toxic >= 4").withColumn("n", F.col("clean") + F.col("toxic"))
     total = sample.agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("clean"), F.count(F.when(F.col("toxic") != 0, 1)).alias("toxic")).first()
     share = total.toxic / max(total.clean + total.toxic, 1)
-    gap = F.abs(F.col("toxic") - share * (F.col("clean") + F.col("toxic"))) / F.sqrt(F.col("clean") + F.col("toxic"))
-    return {r.bucket: i for i, r in enumerate(counts.orderBy(gap.desc(), "bucket").limit(features).collect())}
+    gap = F.abs(F.col("toxic") - share * F.col("n")) / F.sqrt("n")
+    varied = F.abs(F.col("n") - (total.clean + total.toxic) / 2)
+    first = [r.bucket for r in counts.orderBy(gap.desc(), "bucket").limit(features).collect()]
+    return first, [r.bucket for r in counts.orderBy(varied, "bucket").limit(screened).collect()]
+
+
+def together(x: list[set[int]], y: np.ndarray, terms: list[int], pairs: int, least: int = 8, far: float = 4.5) -> list[int]:
+    """The terms of the `pairs` pairs that are farthest, in deviations, from what their two terms tell alone; at least `least` rows hold both."""
+    if not len(y) or not terms:
+        return []
+    place, r = {t: i for i, t in enumerate(terms)}, (y - y.mean()).astype(np.float32)
+    both, told = np.zeros((len(terms), len(terms)), np.float32), np.zeros((len(terms), len(terms)), np.float32)
+    for lo in range(0, len(x), 1024):
+        dense = np.zeros((len(x[lo : lo + 1024]), len(terms)), np.float32)
+        for k, s in enumerate(x[lo : lo + 1024]):
+            dense[k, [place[t] for t in s if t in place]] = 1
+        both += dense.T @ dense
+        told += dense.T @ (dense * r[lo : lo + 1024, None])
+    alone = told.diagonal() / np.maximum(both.diagonal(), 1)
+    z = np.abs(told - both * (alone[:, None] + alone[None, :])) / np.sqrt(np.maximum(both, 1) * max(float((r**2).mean()), 1e-9))
+    z[(both < least) | np.tri(len(terms), dtype=bool)] = 0
+    z[both > 0.95 * np.minimum(both.diagonal()[:, None], both.diagonal()[None, :])] = 0  # a word and its beginning
+    top = np.argsort(-z, axis=None, kind="stable")[:pairs]
+    return list(dict.fromkeys(terms[i] for at in top[z.ravel()[top] > far].tolist() for i in divmod(at, len(terms))))
 
 
 def fitted(x: list[set[int]], y: np.ndarray, features: dict[int, int], updates: int = 3000, rate: float = 0.15, decay: float = 1e-5, seed: int = 5) -> Machine:
@@ -126,17 +150,23 @@ def fitted(x: list[set[int]], y: np.ndarray, features: dict[int, int], updates:
 def learned(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE, folds: int = 4, held_out: int = 2) -> Machine:
     chosen = labelled_sample(labels, sample, folds, held_out)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    features = telling(rows, FEATURES)
-    empty = Machine(features, 0.0, np.zeros(0), np.zeros((0, FACTORS)))
+    first, varied = telling(rows, FEATURES, SCREENED)
+    screen = Machine({t: i for i, t in enumerate(dict.fromkeys([*first, *varied]))}, 0.0, np.zeros(0), np.zeros((0, FACTORS)))
 
     def run(batches):
-        memo = empty.memo()
+        memo = screen.memo()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array([np.array(sorted(s), "<i4").tobytes() for s in empty.present(raw_texts(b), memo)], pa.binary())], ["doc_id", "toxic", "present"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array([np.array(sorted(s), "<i4").tobytes() for s in screen.present(raw_texts(b), memo)], pa.binary())], ["doc_id", "toxic", "present"])
 
-    got = map_batches(rows.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, present binary").dropDuplicates(["doc_id"]).limit(sample).collect()  # at most `sample` rows
+    # at most `sample` rows; of rows that repeat an id the one whose terms come first
+    got = map_batches(rows.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, present binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("present").alias("present")).collect()
     got.sort(key=lambda r: r.doc_id)
-    return fitted([set(np.frombuffer(r.present, "<i4").tolist()) for r in got], np.array([1.0 if r.toxic else 0.0 for r in got]), features)
+    x, y = [set(np.frombuffer(r.present, "<i4").tolist()) for r in got], np.array([1.0 if r.toxic else 0.0 for r in got])
+    place = screen.features
+    kept = list(dict.fromkeys([*(place[t] for t in first), *together(x, y, [place[t] for t in varied], PAIRS)]))
+    at = {f: i for i, f in enumerate(kept)}
+    bucket = list(place)
+    return fitted([{at[f] for f in s if f in at} for s in x], y, {bucket[f]: i for f, i in at.items()})
 
 
 def scores(docs: DataFrame, machine: Machine, threshold: float = 0.3, text: str = "text", doc_id: str = "doc_id", folds: int = 4, held_out: int = 2) -> DataFrame:
