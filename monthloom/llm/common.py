@@ -157,8 +157,8 @@ class Memo(dict):
         return value
 
 
-#: A membership filter has at most so many bits (8 MB), whatever the number of ids; beyond that it only lets more rows through.
-FILTER_BITS = 1 << 26
+#: A membership filter has at most so many bits (32 MB), whatever the number of ids; beyond that it only lets more rows through.
+FILTER_BITS = 1 << 28
 #: Bits of a page. All bits of a key lie on one page, so that a page is made by one task and the driver joins pages end to end.
 PAGE = 1 << 19
 

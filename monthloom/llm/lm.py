@@ -14,11 +14,11 @@ of distinct bigrams: p(w|v) = max(c(vw) - D, 0) / c(v) + g(v) * p(w), p(w) likew
 counts N1+(.w) and, below, 1 / (V + 1). An unseen context backs off to p(w).
 
 Scoring is a map over all texts: a batch's distinct bigrams and words are looked up in the memory-mapped shards by
-binary search, sorted first, so that pages are read in order. Files not on a local path are copied to the worker's own
-folder, mapped and unlinked.
+binary search, sorted first, so that pages are read in order. Shards in a store without local paths are read whole when first
+asked for, and a worker keeps at most HELD bytes of them.
 
-Scale: what is shuffled is packed (about 9 bytes for each distinct bigram of a task). The number of shards is
-spark.sql.shuffle.partitions rounded up to a power of two (16 at least). All training texts are counted, none is sampled and no n-gram dropped.
+Scale: what is shuffled is packed (about 9 bytes for each distinct bigram of a task). The number of shards is a power of two that
+follows from the characters of the training texts, SHARD of them each (up to 65,536 shards; beyond 2 TB they grow). All training texts are counted, none is sampled and no n-gram dropped.
 
 Cases: null and empty texts are the end token alone. Without training rows N = V = 0: the base is log10(1) a token and
 the model 1 / (V + 1) a token. Rows with a null id train and are not held out. Repeated rows count each time. Other
@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import io
 import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -38,11 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, fold, map_batches, mix64, raw_texts, shared_dir, stored
+from .common import Memo, fold, map_batches, mix64, raw_texts, scratch, stored
 
 START, END = 0x5354415254 << 24, 0x454E44 << 40  # cannot be told from a word's hash, but no word is likely to have them
 SMALL = np.uint64(24)  # a word's hash in bigrams is its upper 40 bits
 ROUND, KEPT_WORDS = 2_500_000, 700_000
+SHARD, MOST_BITS, HELD = 32 << 20, 16, 512 << 20
 _words = Memo(xxhash.xxh3_64_intdigest, KEPT_WORDS)
 
 
@@ -200,18 +200,21 @@ def write_file(folder: str, name: str, body: bytes) -> None:
 
 
 def mapped(folder: str, name: str) -> np.ndarray:
-    """A written file as memory-mapped bytes."""
+    """A written file as memory-mapped bytes; as bytes in memory where it has no local path."""
     if (path := local_path(folder)) is not None:
         at = f"{path}/{name}"
         return np.memmap(at, np.uint8, "r") if os.path.getsize(at) else np.zeros(0, np.uint8)
     from pyarrow import fs
 
     where, root = fs.FileSystem.from_uri(folder)
-    with where.open_input_stream(f"{root}/{name}") as f, tempfile.NamedTemporaryFile() as own:
-        while block := f.read(1 << 22):
-            own.write(block)
-        own.flush()
-        return np.memmap(own.name, np.uint8, "r") if os.path.getsize(own.name) else np.zeros(0, np.uint8)
+    with where.open_input_stream(f"{root}/{name}") as f:
+        return np.frombuffer(f.read(), np.uint8)
+
+
+def qualified(spark, folder: str) -> str:
+    """A folder with its file system's scheme, so that Spark and the workers mean the same one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def file_of(*arrays: np.ndarray) -> bytes:
@@ -242,7 +245,7 @@ class Table:
     """The shards of one kind, opened when first asked for."""
 
     def __init__(self, folder: str, kind: str, bits: int, present: frozenset[int], types: tuple[str, ...]):
-        self.folder, self.kind, self.bits, self.present, self.types, self.open = folder, kind, bits, present, types, {}
+        self.folder, self.kind, self.bits, self.present, self.types, self.open, self.held = folder, kind, bits, present, types, {}, 0
 
     def find(self, key: np.ndarray) -> list[np.ndarray]:
         """The values of sorted distinct keys; 0 for those that are missing."""
@@ -252,7 +255,12 @@ class Table:
             if s not in self.present:
                 continue
             if s not in self.open:
-                self.open[s] = arrays_of(mapped(self.folder, f"{self.kind}-{s}"), *self.types)
+                raw = mapped(self.folder, f"{self.kind}-{s}")
+                if not isinstance(raw, np.memmap):
+                    self.held += len(raw)
+                    while self.held > HELD and self.open:
+                        self.held -= sum(a.nbytes for a in self.open.pop(next(iter(self.open))))
+                self.open[s] = arrays_of(raw, *self.types)
             keys, *values = self.open[s]
             asked = key[bounds[s] : bounds[s + 1]]
             at = np.searchsorted(keys, asked)
@@ -323,8 +331,9 @@ def counts_of_counts(n: np.ndarray) -> list[int]:
 def fitted(docs: DataFrame) -> Model:
     """Counts docs (text) and writes the model to the shared folder."""
     spark = docs.sparkSession
-    bits = max(4, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    folder = f"{shared_dir(spark).rstrip('/')}/monthloom/kneser-ney-{uuid.uuid4().hex}"
+    size = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = min(max(4, (size // SHARD).bit_length()), MOST_BITS)
+    folder = qualified(spark, scratch(spark, "kneser-ney"))
 
     def count(batches):
         held = Round(bits)

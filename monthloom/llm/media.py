@@ -4,16 +4,16 @@ A text's UTF-8 bytes are filled up with 255 to a positive multiple of 576. A gea
 shifts the hash left and adds a table value, so 32 bytes count); a chunk ends where the top bits are zero, after LEAST
 bytes and before MOST. Equal passages therefore give equal chunks wherever they stand.
 
-The stored form of a payload is its manifest (magic, payload length, number of chunks, and each chunk's length and
-digest in order) followed by its chunks. In storage a chunk that occurs in one place only lies in its payload's container
-and one that occurs in several lies once in the chunk table, found by joins on the digest. Containers with chunks
+The stored form of a payload is its container: a manifest (magic, payload length, number of chunks, and each chunk's length
+and digest in order) and, after it, those of its chunks that occur nowhere else. A chunk that occurs in several places lies once in
+the chunk table, found by joins on the digest. media_bytes and media_sha256 are those of the container's bytes. Containers with chunks
 elsewhere get them by a join and are put together in order; all are read back from storage before anything is computed,
 and every chunk digest and the length are checked.
 
-Scale: digests are counted by a combined aggregate; those that repeat go into a filter of bounded size (what passes by
-chance is stored in the chunk table, no harm). Only chunks that pass it, and containers that need them, are ever
-shuffled. Payloads that occur many times are rebuilt once and joined back by a key, so a third of all rows being copies
-makes one rebuilding and one small skew-split join.
+Scale: digests are counted by a combined aggregate; those that repeat go into a filter of bounded size, with no false negative (a
+chunk that passes by chance is stored in the chunk table, no harm; when far more than 60 million digests repeat, most do, and the
+chunk table holds most chunks). Only chunks that pass it, and containers that need them, are ever shuffled. Payloads that occur many
+times are rebuilt once and joined back by a key; chunks and payloads with many users are salted in the joins.
 
 Cases: null and empty texts are 576 bytes of 255. Equal texts give equal values. Repeated rows give repeated rows. A null id stays.
 Very long texts are one container row. An empty table gives an empty result. Other columns are not read.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, map_batches, raw_texts, stored
+from .common import KeyFilter, cut, joined, map_batches, raw_texts, stored
 from .minhash import grouped
 
 UNIT, FILL, MAGIC = 576, b"\xff", b"CDM1"
@@ -117,10 +117,9 @@ def feature(payload: bytes, n_chunks: int) -> str:
     return f"mean={x.mean():.4f};sd={x.std():.4f};entropy={max(0.0, -(p * np.log2(p)).sum()):.4f};crossings={np.count_nonzero(high[1:] != high[:-1]) / len(x):.4f};chunks={n_chunks}"
 
 
-def described(form: bytes, payload: bytes) -> tuple:
-    whole = hashlib.sha256(form)
-    whole.update(payload)
-    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form) + len(payload), whole.hexdigest(), feature(payload, listed(form)[1].__len__())
+def described(form: bytes, inline: bytes, payload: bytes) -> tuple:
+    """Columns of READ after the object; form and inline are the container as it is stored."""
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(form) + len(inline), hashlib.sha256(form + inline).hexdigest(), feature(payload, len(listed(form)[1]))
 
 
 def store(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
@@ -181,24 +180,24 @@ def read_back(held: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]
 
     def whole(batches):
         for b in batches:
-            out = [described(f, rebuilt(f, pieces_by_digest(f, x, set()))) for f, x in zip(b.column("form").to_pylist(), b.column("inline").to_pylist(), strict=True)]
+            out = [described(f, x, rebuilt(f, pieces_by_digest(f, x, set()))) for f, x in zip(b.column("form").to_pylist(), b.column("inline").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *_columns(out)], [x.split()[0] for x in schema.split(", ")])
 
     alone = map_batches(held.where(F.size("elsewhere") == 0).select("doc_id", "n_bytes", "form", "inline"), whole, schema)
     objects = held.where(F.size("elsewhere") > 0).groupBy("object").agg(F.first(F.struct("form", "inline", "elsewhere")).alias("c")).select("object", "c.*")
     asked = held.where(F.size("elsewhere") > 0).select("object", F.explode("elsewhere").alias("digest")).distinct()
-    got = asked.join(shared, "digest").select("object", "digest", "body", F.lit(None).cast("binary").alias("inline"))
+    got = joined(cut(asked), shared, "digest", ["object"]).select("object", "digest", "body", F.lit(None).cast("binary").alias("inline"))
     own = objects.select("object", F.lit(None).cast("binary").alias("digest"), F.col("form").alias("body"), "inline")
     rows = own.unionByName(got).repartition("object").sortWithinPartitions("object", F.col("digest").asc_nulls_first())
 
-    def joined(batches):
+    def assembled(batches):
         for (key,), rows in grouped(batches, 1):
             _, form, inline = rows[0]
             bodies = {d: body for d, body, _ in rows[1:]}
             bodies |= pieces_by_digest(form, inline, set(bodies))
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), *_columns([described(form, rebuilt(form, bodies))])], [x.split()[0] for x in READ.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), *_columns([described(form, inline, rebuilt(form, bodies))])], [x.split()[0] for x in READ.split(", ")])
 
-    return alone, map_batches(rows.select("object", "digest", "body", "inline"), joined, READ)
+    return alone, map_batches(rows.select("object", "digest", "body", "inline"), assembled, READ)
 
 
 def _columns(rows: list[tuple]) -> list[pa.Array]:
@@ -210,5 +209,5 @@ def stored_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for every row."""
     held, shared = store(docs, text, doc_id)
     alone, by_object = read_back(held, shared)
-    rest = held.where(F.size("elsewhere") > 0).select("doc_id", "n_bytes", "object").join(by_object, "object").drop("object")
+    rest = joined(held.where(F.size("elsewhere") > 0).select("doc_id", "n_bytes", "object"), by_object, "object", ["doc_id", "n_bytes"]).drop("object")
     return alone.unionByName(rest)

@@ -28,8 +28,8 @@ def op3_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return urls.judge(table(spark, sf_dir, "pages"), outcomes)
+    """No table labels pages, so a page's outcome is bad where its html names a trade of urls.VICES."""
+    return urls.judge(table(spark, sf_dir, "pages"), bad=urls.names_a_vice(F.col("html")))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,10 +113,12 @@ def _level(children: str, rate: str) -> str:
 
 OP4_SQL = f"""
 WITH r AS (
-  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substring(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+         CAST(regexp_matches(translate(html, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9])({"|".join(urls.VICES)})($|[^a-z0-9])') AS INTEGER) AS bad
+  FROM pages
 ), a AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, bad
   FROM r
 ), b AS (
   SELECT *, string_split(host, '.') AS ls,
@@ -124,14 +126,12 @@ WITH r AS (
          regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') OR starts_with(host, '[') AS address
   FROM a
 ), placed AS (
-  SELECT page_id, host, path,
+  SELECT page_id, host, path, bad,
          CASE WHEN address OR len(ls) <= k THEN host ELSE array_to_string(ls[-k:], '.') END AS suffix,
          CASE WHEN address OR len(ls) <= k + 1 THEN host ELSE array_to_string(ls[-(k + 1):], '.') END AS domain
   FROM b
-), seen AS (
-  SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id
 ), hosts AS (
-  SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM placed LEFT JOIN seen USING (page_id) GROUP BY ALL
+  SELECT host, domain, suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM placed GROUP BY ALL
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 s0 AS (SELECT *, (SELECT coalesce(CAST(sum(bad) AS DOUBLE) / nullif(sum(n), 0), 0) FROM suffixes) AS p0 FROM suffixes),
