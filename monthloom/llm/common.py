@@ -108,27 +108,31 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-#: Keys that a join treats as hot: those with more rows than HOT_ROWS and than a share of 1 / HOT_KEYS, so there are fewer than HOT_KEYS.
-HOT_ROWS, HOT_KEYS = 256, 100_000
+#: A join salts the keys with more rows than HOT_ROWS, the HOT_KEYS largest of them; any other key has under 1 / HOT_KEYS of the rows.
+HOT_ROWS, HOT_KEYS = 256, 2000
 
 
 def joined(rows: DataFrame, one: DataFrame, key: str, spread: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows joined with `one` (a row for each key), where a key may hold any share of rows.
 
-    A hot key's rows are dealt over salts by a hash of the columns `spread`, its row of `one` is repeated for each salt. Only the
-    hot keys with their counts are broadcast, fewer than HOT_KEYS rows. counts (key, n) spares a pass over rows.
+    A hot key's rows are dealt over salts by a hash of the columns `spread`, its row of `one` is repeated for each salt: 4, 16, 64, ...
+    salts, for about HOT_ROWS rows or more each. The hot keys are a list in the plan, HOT_KEYS at most. counts (key, n)
+    spares a pass over rows.
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    counts = counts.select(key, F.col("n").alias("__n")).where(F.col(key).isNotNull())
-    many = cut(counts.where(F.col("__n") > HOT_ROWS))
-    total = many.agg(F.sum("__n")).first()[0]
-    if total is None:
+    hot = counts.select(F.col(key).alias("k"), "n").where(F.col("k").isNotNull() & (F.col("n") > HOT_ROWS)).orderBy(F.desc("n"), "k").limit(HOT_KEYS).collect()
+    if not hot:
         return rows.join(one, key, how)
-    least = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = F.broadcast(many.where(F.col("__n") > least).select(key, F.ceil(F.col("__n") / least).cast("int").alias("__salts")))
-    left = rows.join(hot, key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
-    right = one.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts") - 1, F.lit(0))))).drop("__salts")
+    classes: dict[int, list] = {}
+    for r in hot:
+        classes.setdefault(4 ** max(1, min(8, ((r.n // HOT_ROWS).bit_length() + 1) // 2)), []).append(r.k)
+    salts = F.lit(1)
+    for n, keys in sorted(classes.items()):
+        salts = F.when(F.col(key).isin(*keys), n).otherwise(salts)
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.coalesce(salts, F.lit(1))).cast("int"))
+    right = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
+    # a null key has no partner, so its salt is no matter
     return left.join(right, [key, "__salt"], how).drop("__salt")
 
 
