@@ -1,6 +1,6 @@
 """Exact top-k search over binary codes by incremental multi-index hashing, as joins.
 
-A vector's code has a bit for each coordinate, 1 where it is positive. A code is cut into m segments of about log2(codes)
+A vector's code has a bit for each coordinate, 1 where it is positive. A code is cut into m segments of about log2(codes) - 2
 bits. The index is a table by (segment, value) of the codes that have this value there. A query's frontier is the table
 of segment values that differ from its own in just r bits; the next one comes from it by flipping one more, higher bit, so
 every value is met once and no list of masks is held anywhere. Joined with the index, the frontier gives the codes of
@@ -11,7 +11,7 @@ within that is done and leaves the frontier. One that has k rows at distance d n
 d - m * r + 1 segments: a code within d bits has one of those within r or another within r - 1. The search ends when no
 query is left, at the widest segment's width at the latest; nothing is answered in any other way.
 
-Scale: segments as wide as log2(codes) make about one code a value, so a query meets few codes that are not near. Of rows with
+Scale: such segments make about four codes a value, so a query meets few codes that are not near, and few values without codes. Of rows with
 equal codes only the k + 1 with the smallest ids can be in an answer (one more, as a query leaves itself out); they are
 picked with a limit before the shuffle. A value that very many codes share is kept in several chunks of about CHUNK codes,
 and a probe of it is sent to each, so no task holds it whole; a chunk gives at most k + 1 rows a probe. A query that lies far
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, stored
+from .common import cut, discard, map_batches, stored
 
 LEAST_WIDTH, MOST_WIDTH, CHUNK, WORD = 4, 30, 1 << 12, 64
 
@@ -61,7 +61,7 @@ def segments(bits: int, n: int) -> list[tuple[int, int, int]]:
     out = []
     for word in range(-(-bits // WORD)):
         size = min(WORD, bits - word * WORD)
-        m = min(size, max(1, -(-size // MOST_WIDTH), round(size / max(LEAST_WIDTH, log2(max(n, 2))))))
+        m = min(size, max(1, -(-size // MOST_WIDTH), round(size / max(LEAST_WIDTH, log2(max(n, 2)) - 2))))
         edges = [size * i // m for i in range(m + 1)]
         out += [(word, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
     return out
@@ -96,9 +96,10 @@ class Index:
         return rows.join(self.hot, ["segment", "value"], "left").withColumn("chunk", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(places))).drop("chunks")
 
     def met(self, probes: DataFrame, k: int) -> DataFrame:
-        """query, distance, id: of each chunk that a probe meets the k nearest codes."""
-        sent = self.dealt(probes.select("query", "segment", "value"), F.sequence(F.lit(0), F.col("chunks") - 1))
-        near = F.slice(F.array_sort(F.transform("entries", lambda e: F.struct(distance(e["code"], F.col("query"), self.words).alias("distance"), e["id"].alias("id")))), 1, k)
+        """query, distance, id: of each chunk that a probe meets the k nearest codes that are not beyond the query's kth."""
+        sent = self.dealt(probes.select("query", "kth", "segment", "value"), F.sequence(F.lit(0), F.col("chunks") - 1))
+        far = F.transform("entries", lambda e: F.struct(distance(e["code"], F.col("query"), self.words).alias("distance"), e["id"].alias("id")))
+        near = F.slice(F.array_sort(F.filter(far, lambda x: F.col("kth").isNull() | (x["distance"] <= F.col("kth")))), 1, k)
         return sent.join(self.table, ["segment", "value", "chunk"]).select("query", F.explode(near).alias("f")).select("query", "f.distance", "f.id")
 
 
@@ -119,7 +120,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, bits: int, n: int) -> t
         needed = F.col("kth").isNull() | (F.col("segment") <= F.col("kth") - m * radius)
         frontier = cut(frontier.join(waiting, "query"))
         met = index.met(frontier.where(needed), k)
-        found = cut(best(met if found is None else found.unionByName(met), k))
+        last, found = found, cut(best(met if found is None else found.unionByName(met), k))
+        discard(last, *([held_frontier] if radius else []))
+        held_frontier = frontier
         held = found.groupBy("query").agg(F.count("*").alias("held"), F.max("distance").alias("far"))
         state = waiting.select("query", F.col("kth").alias("before")).join(held, "query", "left")
         covered = F.when(F.lit(radius == widest), bits).when(F.col("before").isNull(), m * (radius + 1) - 1).otherwise(F.least(F.col("before"), F.lit(m * (radius + 1) - 1)))
