@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .factors import decomposed
+from ..functions import clip
+from .factors import GROWTH_BOUNDS, decomposed, early_growths, growth
 from .panel import SERIES, coded, dense_prefixes, filled_forward
 
 #: name -> function of (histories as rows of an array, horizon) that gives a median forecast for each row
@@ -86,25 +87,38 @@ def seasonal_library(panel: DataFrame, c: int, h: int, fourier: int | None = Non
     return panel.where(F.col("t") < c).groupBy(*SERIES).applyInPandas(fit, f"territory_id {dict(panel.dtypes)['territory_id']}, category string, predicted double")
 
 
-def boosted(panel: DataFrame, c: int, h: int, every: int = 3) -> DataFrame:
-    """Gradient-boosted trees on changes of d = z - factor, trained on every third series; the change is kept within .2.
+def boosted_features(rows: DataFrame, horizons: list[int]) -> DataFrame:
+    """A row for each series, month t >= 5 and horizon, from d up to t: steps back, mean and slope of six months, target's season."""
+    w = Window.partitionBy(*SERIES).orderBy("t")
+    six = w.rowsBetween(-5, 0)
+    x = rows.withColumns({"back1": F.lag("d", 1).over(w) - F.col("d"), "back2": F.lag("d", 2).over(w) - F.col("d"), "mean6": F.avg("d").over(six) - F.col("d"), "slope": F.regr_slope("d", F.col("t").cast("double")).over(six)})
+    x = x.where("t >= 5").withColumn("h", F.explode(F.array(*map(F.lit, horizons)))).withColumn("m", F.pmod(F.col("t") + F.col("h"), F.lit(12)))
+    season = {"sine": F.sin(2 * np.pi * F.col("m") / 12), "cosine": F.cos(2 * np.pi * F.col("m") / 12)}
+    x = x.withColumns({"slope_h": F.col("slope") * F.least("h", F.lit(6)), **season, **{f"is{k}": (F.col("code") == k).cast("double") for k in range(6)}})
+    ahead = rows.select(*SERIES, F.col("t").alias("target"), F.col("d").alias("d_ahead"))
+    return x.withColumn("target", F.col("t") + F.col("h")).join(ahead, [*SERIES, "target"], "left")
+
+
+FEATURES = ["d", "back1", "back2", "mean6", "slope", "slope_h", "h", "sine", "cosine", *(f"is{k}" for k in range(6))]
 
-    An approximation: Spark's trees have no median leaves and no leaf penalty.
+
+def boosted(panel: DataFrame, c: int, horizons: list[int], every: int = 3, rounds: int = 70, train_horizons: tuple[int, ...] = (1, 3, 6, 12)) -> DataFrame:
+    """factor_boost: the factor a year before the target, grown, with the last d and its learned change within .2.
+
+    One set of trees learns the changes of d over all horizons from the sixth month on, on every third series, weighted by
+    the root of the value. An approximation: Spark's trees have a depth for a number of leaves, no median leaves and no leaf penalty.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     rows = coded(decomposed(panel, [c]))
-    w = Window.partitionBy(*SERIES).orderBy("t")
-    x = rows.withColumns({f"lag{k}": F.lag("d", k).over(w) for k in (1, 2, 3)}).withColumn("ahead", F.lead("d", h).over(w)).withColumn("mean6", F.avg("d").over(w.rowsBetween(-5, 0)))
-    x = x.where("lag3 IS NOT NULL").withColumns({"sin": F.sin(2 * np.pi * (F.col("t") + h) / 12), "cos": F.cos(2 * np.pi * (F.col("t") + h) / 12)})
-    x = VectorAssembler(inputCols=["code", "d", "lag1", "lag2", "lag3", "mean6", "sin", "cos"], outputCol="features").transform(x)
-    train = x.where(F.col("ahead").isNotNull() & (F.pmod(F.xxhash64(*SERIES), F.lit(every)) == 0)).withColumn("label", F.col("ahead") - F.col("d"))
-    model = GBTRegressor(lossType="absolute", maxIter=20, maxDepth=4, stepSize=0.06, minInstancesPerNode=40, seed=1).fit(train)
-    last = model.transform(x.where(F.col("t") == c - 1))
-    f = rows.select("category", "t", "f").distinct()
-    s = f.where(F.col("t") == c + h - 13).select("category", F.col("f").alias("fs"))
-    end = f.where(F.col("t") == c - 1).select("category", F.col("f").alias("fe")).join(f.where(F.col("t") == c - 13).select("category", F.col("f").alias("fb")), "category")
-    out = last.join(s.join(end, "category"), "category")
-    change = F.greatest(F.least("prediction", F.lit(0.2)), F.lit(-0.2))
-    return out.select(*SERIES, F.greatest(F.exp(F.col("fs") + F.col("fe") - F.col("fb") + F.col("d") + change) - 1, F.lit(0.0)).alias("predicted"))
+    x = boosted_features(rows, sorted({*train_horizons, *horizons})).withColumns({"label": F.col("d_ahead") - F.col("d"), "weight": F.sqrt(F.greatest(F.exp("z") - 1, F.lit(1.0)))})
+    x = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x)
+    train = x.where(F.col("label").isNotNull() & F.col("h").isin(*train_horizons) & (F.pmod(F.xxhash64(*SERIES), F.lit(every)) == 0))
+    model = GBTRegressor(lossType="absolute", maxIter=rounds, maxDepth=4, stepSize=0.06, minInstancesPerNode=40, weightCol="weight", seed=1).fit(train.select("features", "label", "weight"))
+    last = model.transform(x.where((F.col("t") == c - 1) & F.col("h").isin(*horizons)))
+    f = rows.select("category", F.col("t").alias("target12"), F.col("f").alias("f_before")).distinct()
+    grown = early_growths(rows, [c]) if c <= 12 else growth(rows, 3)
+    level = F.col("f_before") + clip(F.col("growth"), *GROWTH_BOUNDS)
+    out = last.withColumn("target12", F.col("target") - 12).join(f, ["category", "target12"]).join(grown.select("category", "growth"), "category")
+    return out.select(*SERIES, F.lit(c).alias("c"), "h", F.greatest(F.exp(level + F.col("d") + clip(F.col("prediction"), -0.2, 0.2)) - 1, F.lit(0.0)).alias("factor_boost"))

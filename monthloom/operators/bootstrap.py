@@ -13,8 +13,9 @@ def cluster_draws(pairs: DataFrame, cluster: str, a: Column, b: Column, draws: i
     """
     sums = pairs.groupBy(cluster).agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.count(F.lit(1)).alias("n"))
     numbered = sums.withColumn("at", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("long"))
-    size = sums.agg(F.count(F.lit(1)).alias("size"))
-    drawn = size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("int"))))
+    size = sums.agg(F.count(F.lit(1)).alias("size"))  # one row
+    numbers = pairs.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw"))  # dealt over tasks
+    drawn = numbers.join(F.broadcast(size)).where("size > 0").withColumn("k", F.explode(F.sequence(F.lit(0), (F.col("size") - 1).cast("int"))))
     key = F.md5(F.concat(F.lit(seed + ":"), F.col("draw").cast("string"), F.lit(":"), F.col("k").cast("string")).cast("binary"))
     drawn = drawn.withColumn("at", F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.col("size"))
     return drawn.join(numbered, "at").groupBy("draw").agg(((F.sum("a") - F.sum("b")) / F.sum("n")).alias("difference"))

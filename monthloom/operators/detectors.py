@@ -149,15 +149,15 @@ def panel_window(z: DataFrame, width: int) -> DataFrame:
     return z.withColumn("k", F.count("z").over(w)).withColumn("m", F.avg("z").over(w)).where(F.col("k") == width).select(*SERIES, "t", F.abs("m").alias("score"))
 
 
-def change_scores(panel: DataFrame, width: int, months: int = 24) -> DataFrame:
+def change_scores(panel: DataFrame, width: int, months: int = 24, factor: DataFrame | None = None) -> DataFrame:
     """Confirmed shifts: the smallest of the last `width` residuals' distances from the median of the six before them.
 
-    The residual is ln(1 + y) less the category's median of the month; distances count in units of 1.4826 times the
+    The residual is ln(1 + y) less the category's median of the month, or the month's f of a table `factor` (t, f); distances count in units of 1.4826 times the
     deviation of all earlier month-to-month differences, at least .015, and only when all have the same sign.
     """
     x = dense(panel, months).withColumn("x", F.log(F.col("y") + 1))
-    f = x.groupBy("category", "t").agg(F.median("x").alias("f"))
-    r = x.join(f, ["category", "t"]).withColumn("r", F.col("x") - F.col("f")).withColumn("diff", F.col("r") - F.lag("r").over(in_order()))
+    of = x.join(F.broadcast(factor), "t") if factor is not None else x.join(x.groupBy("category", "t").agg(F.median("x").alias("f")), ["category", "t"])  # factor: a row for each month
+    r = of.withColumn("r", F.col("x") - F.col("f")).withColumn("diff", F.col("r") - F.lag("r").over(in_order()))
     r = r.withColumn("diffs", F.collect_list("diff").over(in_order().rowsBetween(Window.unboundedPreceding, -1)))
     r = r.withColumn("ref", F.collect_list("r").over(in_order().rowsBetween(-width - 5, -width))).withColumn("recent", F.collect_list("r").over(in_order().rowsBetween(-width + 1, 0)))
     shifts = F.transform("recent", lambda v: v - array_median(F.col("ref")))
@@ -167,12 +167,17 @@ def change_scores(panel: DataFrame, width: int, months: int = 24) -> DataFrame:
     return r.select(*SERIES, "t", F.when(whole & same, score).otherwise(0.0).alias("score"))
 
 
-def alarms(scores: DataFrame, threshold: float, cooldown: int = 3) -> DataFrame:
-    """Months with score at the threshold or over it that are more than `cooldown` after the last alarm, greedily."""
-    hits = scores.where(F.col("score") >= threshold).groupBy(*SERIES).agg(F.array_sort(F.collect_list("t")).alias("ts"))
+def alarms_at(scores: DataFrame, thresholds: list[float], cooldown: int = 3) -> DataFrame:
+    """threshold, t: months with score at a threshold or over it that are more than `cooldown` after its last alarm, greedily."""
+    hits = scores.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))).where(F.col("score") >= F.col("threshold"))
+    hits = hits.groupBy(*SERIES, "threshold").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     none = F.array().cast("array<int>")
     kept = F.aggregate("ts", none, lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(F.concat(F.array(F.lit(-1000)), a), -1) > cooldown), F.concat(a, F.array(t.cast("int")))).otherwise(a))
-    return hits.select(*SERIES, F.explode(kept).alias("t"))
+    return hits.select(*SERIES, "threshold", F.explode(kept).alias("t"))
+
+
+def alarms(scores: DataFrame, threshold: float, cooldown: int = 3) -> DataFrame:
+    return alarms_at(scores, [threshold], cooldown).drop("threshold")
 
 
 def uniform(*key: Column | str) -> Column:
@@ -225,20 +230,27 @@ def injected(panel: DataFrame, seed: str = "case") -> DataFrame:
     return rows.select(*SERIES, "kind", F.when(~F.col("kind").isin("control", "outlier"), F.col("at")).alias("change"), "t", (F.col("y") * factor).alias("y"))
 
 
-def case_scores(cases: DataFrame, found: DataFrame, tolerance: int = 2, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
-    """One row: tp, fp, fn, precision, recall, f1, control rate, median delay. cases: keys, kind, change; found: keys, t.
+def case_scores(cases: DataFrame, found: DataFrame, tolerance: int = 2, keys: tuple[str, ...] = ("case_id",), by: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each `by`: tp, fp, fn, precision, recall, f1, control rate, median delay. cases: by, keys, kind, change; found: by, keys, t.
 
     A case is hit by any alarm from its change to `tolerance` after; all other alarms, and repeats, are false.
     """
     inside = F.col("t").between(F.col("change"), F.col("change") + tolerance)
-    per = cases.join(found, [*keys], "left").groupBy(*keys, "kind", "change").agg(F.count("t").alias("alarms"), F.min(F.when(inside, F.col("t"))).alias("first"))
+    per = cases.join(found, [*by, *keys], "left").groupBy(*by, *keys, "kind", "change").agg(F.count("t").alias("alarms"), F.min(F.when(inside, F.col("t"))).alias("first"))
     hit = F.when(F.col("first").isNotNull(), 1).otherwise(0)
-    s = per.agg(
+    s = per.groupBy(*by).agg(
         F.sum(hit).alias("tp"), F.sum(F.col("alarms") - hit).alias("fp"), F.sum(F.when(F.col("change").isNotNull(), 1 - hit).otherwise(0)).alias("fn"),
         F.avg(F.when(F.col("kind").isin("control", "none"), (F.col("alarms") > 0).cast("int"))).alias("control_rate"), F.median(F.col("first") - F.col("change")).alias("delay"),
     )
     p, r = F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0))
-    return s.select("tp", "fp", "fn", F.coalesce(p, F.lit(0.0)).alias("precision"), F.coalesce(r, F.lit(0.0)).alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"), "control_rate", "delay")
+    return s.select(*by, "tp", "fp", "fn", F.coalesce(p, F.lit(0.0)).alias("precision"), F.coalesce(r, F.lit(0.0)).alias("recall"), F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)).alias("f1"), "control_rate", "delay")
+
+
+def chosen_quiet(scores: DataFrame, *groups: str, limit: float = 0.05) -> DataFrame:
+    """By group the row with the best f1, then the lower control rate, among control rates within the limit; else the least rate; then the lower threshold."""
+    ok = F.col("control_rate") <= limit
+    order = F.struct((~ok).cast("int").alias("a"), F.when(ok, -F.col("f1")).otherwise(F.col("control_rate")).alias("b"), F.col("control_rate").alias("c"), F.col("threshold").alias("d"))
+    return scores.groupBy(*groups).agg(F.min_by(F.struct(*[c for c in scores.columns if c not in groups]), order).alias("r")).select(*groups, "r.*")
 
 
 def chosen(scores: DataFrame, limit: float = 0.05) -> DataFrame:

@@ -35,6 +35,29 @@ def different_sets(a: DataFrame, b: DataFrame) -> int:
     return a.exceptAll(b).count() + b.exceptAll(a).count()
 
 
+def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: only_first and only_second, the numbers of distinct rows that one frame has alone."""
+    sides = a.distinct().withColumn("__side", F.lit(1)).unionByName(b.distinct().withColumn("__side", F.lit(2)))
+    per = sides.groupBy(*a.columns).agg(F.sum("__side").alias("s"))
+    return per.agg(F.count(F.when(F.col("s") == 1, 1)).alias("only_first"), F.count(F.when(F.col("s") == 2, 1)).alias("only_second"))
+
+
+def replayed(stored: DataFrame, panel: DataFrame, long_pairs: DataFrame, long_stored: DataFrame, used: DataFrame, policy: DataFrame) -> DataFrame:
+    """One row of counts: repeated keys, values that are not finite, actuals unlike the panel's, mean errors unlike those of the
+    stored pairs, used models (h, category, model) unlike the policy's; and the number of pairs."""
+    keys = ["territory_id", "category", "c", "h"]
+    one = lambda df, name, value: df.agg(value.cast("long").alias(name))
+    bad = lambda c: F.col(c).isNull() | F.isnan(c) | F.col(c).isin(float("inf"), float("-inf"))
+    repeats = one(stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "duplicates", F.coalesce(F.sum(F.col("n") - 1), F.lit(0)))
+    source = panel.select("territory_id", "category", F.col("t").alias("target"), "y")
+    wrong = one(stored.join(source, ["territory_id", "category", "target"], "left").where(~F.col("actual").eqNullSafe(F.col("y"))), "wrong_actuals", F.count(F.lit(1)))
+    mae = lambda df, name: df.groupBy("model", "h", "category").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias(name))
+    errors = one(mae(long_pairs, "m").join(mae(long_stored, "again"), ["model", "h", "category"], "full").where(~F.coalesce(F.abs(F.col("m") - F.col("again")) <= 1e-6, F.lit(False))), "wrong_errors", F.count(F.lit(1)))
+    choices = one(used.join(policy.select("h", "category", F.col("model").alias("chosen")), ["h", "category"]).where("model <> chosen"), "wrong_choices", F.count(F.lit(1)))
+    whole = stored.agg(F.count(F.when(bad("actual") | bad("seasonal_scaled"), 1)).alias("not_finite"), F.count(F.lit(1)).alias("pairs"))
+    return repeats.join(whole).join(wrong).join(errors).join(choices).select("duplicates", "not_finite", "wrong_actuals", "wrong_errors", "wrong_choices", "pairs")  # one row each
+
+
 def news_before_available(signals: DataFrame, events: DataFrame) -> int:
     """Signals that name an event which was not known before their date."""
     named = signals.where("known_news_ids <> ''").select("as_of", F.explode(F.split("known_news_ids", ";")).alias("event_id"))

@@ -5,6 +5,8 @@ Series-level work is partitioned by (territory_id, category); a missing month is
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,12 @@ def month_index(at: Column, first_year: int = FIRST_YEAR) -> Column:
     return (F.year(at) - first_year) * 12 + F.month(at) - 1
 
 
+def in_months(at: str, first: int, last: int, first_year: int = FIRST_YEAR) -> Column:
+    """Whether a date lies in the months first..last: comparisons with literals, by which Parquet skips row groups."""
+    start = lambda m: F.lit(date(first_year + m // 12, m % 12 + 1, 1)).cast("timestamp")
+    return (F.col(at) >= start(first)) & (F.col(at) < start(last + 1))
+
+
 def mean_of_cents(money: str) -> Column:
     """Mean of money through integer cents, the same in whatever order rows come."""
     return F.sum(F.round(F.col(money) * 100).cast("long")) / (F.lit(100.0) * F.count(F.lit(1)))
@@ -23,7 +31,7 @@ def mean_of_cents(money: str) -> Column:
 
 def order_panel(spark: SparkSession, sf_dir: str, first: int = 0, last: int = MONTHS - 1) -> DataFrame:
     """Mean order value by customer nation, order priority (and ALL) and month."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderpriority", "o_totalprice", month_index(F.col("o_orderdate")).alias("t")).where(F.col("t").between(first, last))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where(in_months("o_orderdate", first, last)).select("o_custkey", "o_orderpriority", "o_totalprice", month_index(F.col("o_orderdate")).alias("t"))
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_nationkey").alias("territory_id"))
     rows = orders.join(customers, orders.o_custkey == customers.c_custkey)
     rows = rows.select("territory_id", F.explode(F.array("o_orderpriority", F.lit("ALL"))).alias("category"), "t", "o_totalprice")
@@ -32,7 +40,7 @@ def order_panel(spark: SparkSession, sf_dir: str, first: int = 0, last: int = MO
 
 def supplier_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean line value by supplier and month: one category."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_extendedprice", month_index(F.col("l_shipdate")).alias("t")).where(F.col("t").between(0, MONTHS - 1))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(in_months("l_shipdate", 0, MONTHS - 1)).select("l_suppkey", "l_extendedprice", month_index(F.col("l_shipdate")).alias("t"))
     return lines.groupBy(F.col("l_suppkey").alias("territory_id"), F.lit("ALL").alias("category"), "t").agg(mean_of_cents("l_extendedprice").alias("y"))
 
 

@@ -232,19 +232,33 @@ sums AS (SELECT threshold, CAST(count(first) AS BIGINT) AS tp, CAST(sum(alarms)
 scores AS (SELECT threshold, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, control_rate, delay FROM sums)"""
 
 
-def _scores(spark, d):
+def _case_id():
+    return F.concat_ws(":", "territory_id", "kind").alias("case_id")
+
+
+def _one_by_kind(spark, d):
+    """The untouched panel, its cases as series of their own, and the list of cases."""
     whole, cases = P.complete(P.supplier_panel(spark, d)), _cases(spark, d)
-    key = F.concat_ws(":", "territory_id", "kind")
-    one = cases.withColumn("category", F.concat_ws(":", "category", "kind"))
+    return whole, cases.withColumn("category", F.concat_ws(":", "category", "kind")), cases.select(_case_id(), "kind", "change").distinct()
+
+
+def _case_z(whole, one):
     reference = D.factor_and_spread(whole).drop("category")
-    z = D.yearly(one).join(F.broadcast(reference), "t").select(*P.SERIES, "t", F.abs((F.col("change") - F.col("factor")) / F.col("spread")).alias("score"))  # a row for each month
-    listed = cases.select(key.alias("case_id"), "kind", "change").distinct()
-    out = None
-    for threshold in GRID:
-        found = D.alarms(z, threshold).withColumn("kind", F.substring_index("category", ":", -1)).select(key.alias("case_id"), "t")
-        row = D.case_scores(listed, found).withColumn("threshold", F.lit(threshold))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return D.yearly(one).join(F.broadcast(reference), "t").select(*P.SERIES, "t", ((F.col("change") - F.col("factor")) / F.col("spread")).alias("z"))  # a row for each month
+
+
+def _by_case(found, *more):
+    return found.withColumn("kind", F.substring_index("category", ":", -1)).select(_case_id(), "t", *more)
+
+
+def _at(listed, thresholds):
+    return listed.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
+
+
+def _scores(spark, d):
+    whole, one, listed = _one_by_kind(spark, d)
+    z = _case_z(whole, one).select(*P.SERIES, "t", F.abs("z").alias("score"))
+    return D.case_scores(_at(listed, GRID), _by_case(D.alarms_at(z, GRID), "threshold"), by=("threshold",))
 
 
 @query(f"""WITH RECURSIVE {SCORED} SELECT threshold, tp, fp, fn, {t('"precision"', 6)} AS "precision", {t('recall', 6)} AS recall, {t('f1', 6)} AS f1, {t('control_rate', 6)} AS control_rate, CAST(delay AS DOUBLE) AS delay FROM scores""")
@@ -270,9 +284,126 @@ def latest_signal(spark, d):
     return panel_alarms(spark, d).groupBy("territory_id").agg(F.max("t").alias("t"), F.count(F.lit(1)).alias("alarms"))
 
 
-@query()
-def streaming_cusum(spark, d):
-    """Rows only: the stream's charts, equal to a batch fold (tested)."""
-    from ..streaming.charts import event_counts, replayed
+#: Thresholds that the scores of confirmed shifts are tried at.
+SHIFT_GRID = (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 6.0, 8.0)
+
+
+def _sums(rows: str, by: str) -> str:
+    return f"""sums AS (SELECT {by}, CAST(count(first) AS BIGINT) AS tp, CAST(sum(alarms) - count(first) AS BIGINT) AS fp, CAST(count(change) - count(first) AS BIGINT) AS fn, avg(CASE WHEN kind = 'control' THEN CASE WHEN alarms > 0 THEN 1 ELSE 0 END END) AS control_rate, median(first - change) AS delay FROM {rows} GROUP BY ALL),
+scores AS (SELECT {by}, tp, fp, fn, coalesce(tp / nullif(tp + fp, 0), 0) AS "precision", coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, control_rate, delay FROM sums)"""
+
+
+SHOWN_SCORES = f"""tp, fp, fn, {t('"precision"', 6)} AS "precision", {t('recall', 6)} AS recall, {t('f1', 6)} AS f1, {t('control_rate', 6)} AS control_rate, CAST(delay AS DOUBLE) AS delay"""
+
+
+def _shown_scores(rows, *by):
+    return rows.select(*by, "tp", "fp", "fn", *[tidy(c, 6).alias(c) for c in ("precision", "recall", "f1", "control_rate")], F.col("delay").cast("double").alias("delay"))
+
+
+def _shift_sql(w: int) -> str:
+    scored = _confirmed_sql("inj", "territory_id, kind", w).replace("cf AS (SELECT category, t, median(x) AS f FROM cx GROUP BY ALL)", "cf AS (SELECT t, median(ln(y + 1)) AS f FROM whole GROUP BY ALL)").replace("FROM cx JOIN cf USING (category, t)", "FROM cx JOIN cf USING (t)")
+    return f"""SELECT 'confirmed{w}' AS method, * FROM (WITH RECURSIVE {INJECTED}, {scored}, th AS (SELECT unnest(CAST([{', '.join(map(str, SHIFT_GRID))}] AS DOUBLE[])) AS threshold),
+hits AS (SELECT threshold, territory_id, kind, t, row_number() OVER (PARTITION BY threshold, territory_id, kind ORDER BY t) AS r FROM confirmed, th WHERE score >= threshold),
+greedy AS (SELECT threshold, territory_id, kind, r, t, t AS last, TRUE AS kept FROM hits WHERE r = 1
+  UNION ALL SELECT h.threshold, h.territory_id, h.kind, h.r, h.t, CASE WHEN h.t - g.last > 3 THEN h.t ELSE g.last END, h.t - g.last > 3 FROM greedy g JOIN hits h ON h.threshold = g.threshold AND h.territory_id = g.territory_id AND h.kind = g.kind AND h.r = g.r + 1),
+cs AS (SELECT DISTINCT threshold, territory_id, kind, change FROM inj, th),
+pc AS (SELECT c.threshold, c.territory_id, c.kind, c.change, count(g.t) AS alarms, min(CASE WHEN g.t BETWEEN c.change AND c.change + 2 THEN g.t END) AS first FROM cs c LEFT JOIN (SELECT * FROM greedy WHERE kept) g ON g.threshold = c.threshold AND g.territory_id = c.territory_id AND g.kind = c.kind GROUP BY ALL),
+{_sums('pc', 'threshold')} SELECT * FROM scores)"""
+
+
+def _shift_scores(spark, d):
+    whole, one, listed = _one_by_kind(spark, d)
+    factor = whole.groupBy("t").agg(F.median(F.log(F.col("y") + 1)).alias("f"))
+    out = None
+    for w in (2, 3):
+        found = _by_case(D.alarms_at(D.change_scores(one, w, factor=factor), SHIFT_GRID), "threshold")
+        rows = D.case_scores(_at(listed, SHIFT_GRID), found, by=("threshold",)).withColumn("method", F.lit(f"confirmed{w}"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH scores AS ({_shift_sql(2)} UNION ALL {_shift_sql(3)}) SELECT method, threshold, {SHOWN_SCORES} FROM scores")
+def shift_scores(spark, d):
+    """Confirmed shifts on the cases of every complete series, against the untouched panel's factor."""
+    return _shown_scores(_shift_scores(spark, d), "method", "threshold")
+
+
+@query(f"""WITH scores AS ({_shift_sql(2)} UNION ALL {_shift_sql(3)}) SELECT method, threshold, {t('f1', 6)} AS f1, {t('control_rate', 6)} AS control_rate FROM scores
+QUALIFY row_number() OVER (PARTITION BY method ORDER BY control_rate > 0.05, CASE WHEN control_rate <= 0.05 THEN -f1 ELSE control_rate END, control_rate, threshold) = 1""")
+def shift_threshold(spark, d):
+    return D.chosen_quiet(_shift_scores(spark, d).select("method", "threshold", "f1", "control_rate"), "method").select("method", "threshold", tidy("f1", 6).alias("f1"), tidy("control_rate", 6).alias("control_rate"))
+
+
+@query(f"""WITH scores AS ({_shift_sql(2)} UNION ALL {_shift_sql(3)}) SELECT method, threshold, {t('f1', 6)} AS f1, {t('control_rate', 6)} AS control_rate FROM scores
+QUALIFY row_number() OVER (PARTITION BY method ORDER BY f1 DESC, control_rate, threshold DESC) = 1""")
+def threshold_by_f1(spark, d):
+    return D.chosen_by_f1(_shift_scores(spark, d).select("method", "threshold", "f1", "control_rate"), "method").select("method", "threshold", tidy("f1", 6).alias("f1"), tidy("control_rate", 6).alias("control_rate"))
+
+
+CASE_Z = f"""{INJECTED}, oy AS (SELECT a.territory_id, a.t, ln(a.y + 1) - ln(b.y + 1) AS ch FROM whole a JOIN whole b ON a.territory_id = b.territory_id AND a.t = b.t + 12), of1 AS (SELECT t, median(ch) AS factor FROM oy GROUP BY t),
+os AS (SELECT t, any_value(factor) AS factor, greatest(1.4826 * median(abs(ch - factor)), 0.02) AS spread FROM oy JOIN of1 USING (t) GROUP BY t),
+zs AS (SELECT i.territory_id || ':' || i.kind AS territory_id, i.t, (ln(i.y + 1) - ln(b.y + 1) - factor) / spread AS z FROM inj i LEFT JOIN inj b ON b.territory_id = i.territory_id AND b.kind = i.kind AND b.t = i.t - 12 LEFT JOIN os ON os.t = i.t)"""
+CUSUM_STATE = ("{'up': greatest(0, f.s.up + n.z - 0.5), 'down': greatest(0, f.s.down - n.z - 0.5)}", "CASE WHEN s2.up >= s2.down THEN 1 ELSE -1 END", "{'up': CAST(0 AS DOUBLE), 'down': CAST(0 AS DOUBLE)}")
+CUSUM8 = _chart(CUSUM_STATE[0], "greatest(s2.up, s2.down) / 8", CUSUM_STATE[1], CUSUM_STATE[2])
+MULTI5 = _chart(CLIPPED, f"list_max(list_transform({SCALES}, lambda q: abs(q))) / 5", "1", "CAST([] AS DOUBLE[])", 6)
+
+
+@query(f"""WITH found AS ({" UNION ALL ".join(f"SELECT '{m}' AS method, territory_id, t FROM ({sql.replace(INNOVATIONS, CASE_Z)}) WHERE alarm" for m, sql in (("cusum_v1", CUSUM8), ("multiscale", MULTI5)))}),
+cs AS (SELECT DISTINCT method, territory_id || ':' || kind AS territory_id, kind, change FROM (WITH {INJECTED} SELECT * FROM inj), (SELECT unnest(['cusum_v1', 'multiscale']) AS method)),
+pc AS (SELECT c.method, c.territory_id, c.kind, c.change, count(g.t) AS alarms, min(CASE WHEN g.t BETWEEN c.change AND c.change + 2 THEN g.t END) AS first FROM cs c LEFT JOIN found g ON g.method = c.method AND g.territory_id = c.territory_id GROUP BY ALL),
+{_sums('pc', 'method')} SELECT method, {SHOWN_SCORES} FROM scores""")
+def chart_scores(spark, d):
+    whole, one, listed = _one_by_kind(spark, d)
+    z = _case_z(whole, one)
+    found = None
+    for method, chart in (("cusum_v1", D.cusum(z, 8.0)), ("multiscale", D.robust(z, "multiscale", 5.0))):
+        rows = _by_case(chart.where("alarm")).withColumn("method", F.lit(method))
+        found = rows if found is None else found.unionByName(rows)
+    asked = listed.withColumn("method", F.explode(F.array(F.lit("cusum_v1"), F.lit("multiscale"))))
+    return _shown_scores(D.case_scores(asked, found, by=("method",)), "method")
+
+
+CUSUM4 = _chart(CUSUM_STATE[0], "greatest(s2.up, s2.down) / 4", CUSUM_STATE[1], CUSUM_STATE[2])
+
+
+@query(f"""WITH {EVENTS}, signals AS (SELECT *, CAST(make_date(1999 + t // 12, t % 12 + 1, 1) + INTERVAL 1 MONTH AS DATE) AS as_of FROM ({CUSUM4}) WHERE alarm OR warning)
+SELECT territory_id, t, as_of, score, warning, alarm, direction, coalesce((SELECT string_agg(event_id, ';' ORDER BY event_id) FROM ev WHERE delta <> 0 AND available < signals.as_of AND available >= signals.as_of - 90), '') AS known_news_ids FROM signals""")
+def signals_export(spark, d):
+    """Alarms and warnings with their score, and the news known in the ninety days before."""
+    found = _charted(D.cusum(_z(spark, d), 4.0)).where("alarm OR warning").withColumn("as_of", F.add_months(F.make_date(F.lit(1999), F.lit(1), F.lit(1)), F.col("t") + 1))
+    return news.around(found, news.events(spark)).select("territory_id", "t", "as_of", "score", "warning", "alarm", "direction", "known_news_ids")
+
+
+@query(f"SELECT territory_id, score, warning, alarm, direction FROM ({CUSUM4}) WHERE t = 23")
+def latest_scores(spark, d):
+    return _charted(D.cusum(_z(spark, d), 4.0)).where("t = 23").drop("t")
+
+
+def _stream_sql(state: str, score: str, direction: str, empty: str) -> str:
+    """The fold over a key's hours in order, numbered by r."""
+    return f"""WITH RECURSIVE e AS (SELECT event_type AS key, CAST(epoch(date_trunc('hour', ts)) / 3600 AS BIGINT) AS t, count(*) AS n FROM events GROUP BY ALL),
+m AS (SELECT key, t, n, row_number() OVER (PARTITION BY key ORDER BY t) AS r, count(*) OVER w AS seen, avg(n) OVER w AS mean, stddev_pop(n) OVER w AS sd FROM e WINDOW w AS (PARTITION BY key ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+zs AS (SELECT key, t, r, CASE WHEN seen >= 12 THEN (n - mean) / greatest(sd, 1e-9) END AS z FROM m),
+fold AS (
+  SELECT key, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS r, {empty} AS s, CAST(-1000 AS BIGINT) AS last, CAST(0 AS DOUBLE) AS score, FALSE AS alarm, 0 AS direction FROM (SELECT DISTINCT key FROM zs)
+  UNION ALL
+  SELECT key, t, r, CASE WHEN z IS NULL THEN s WHEN alarm THEN {empty} ELSE s2 END, CASE WHEN z IS NOT NULL AND alarm THEN t ELSE last END, CASE WHEN z IS NULL THEN 0 ELSE score END, z IS NOT NULL AND alarm, CASE WHEN z IS NULL THEN 0 ELSE direction END
+  FROM (SELECT *, score >= 1 AND t - last > 3 AS alarm FROM (SELECT *, {score} AS score, {direction} AS direction FROM (
+    SELECT f.key, n.t, n.r, f.s, f.last, n.z, {state} AS s2 FROM fold f JOIN zs n ON n.key = f.key AND n.r = f.r + 1)))
+) SELECT key, t, {t('score', 6)} AS score, score >= 0.7 AS warning, alarm, CAST(direction AS INTEGER) AS direction FROM fold WHERE r > 0"""
+
+
+def _stream(name: str, method: str, threshold: float, sql: str) -> None:
+    def run(spark, d):
+        from ..streaming.charts import event_counts, replayed
+
+        return replayed(spark, event_counts(spark, d), method=method, threshold=threshold).withColumn("score", tidy("score", 6))
+
+    run.__name__ = name
+    query(sql)(run)
+
 
-    return replayed(spark, event_counts(spark, d))
+_stream("streaming_cusum", "cusum", 4.0, _stream_sql(CUSUM_STATE[0], "greatest(s2.up, s2.down) / 4", CUSUM_STATE[1], CUSUM_STATE[2]))
+_stream("streaming_ewma", "ewma", 2.0, _stream_sql("0.3 * n.z + 0.7 * f.s", f"abs(s2) / {math.sqrt(0.3 / 1.7) * 2!r}", "sign(s2)", "CAST(0 AS DOUBLE)"))
+_stream("streaming_window_mean", "window_mean", 2.0, _stream_sql("list_append(f.s, n.z)[-3:]", "abs(list_sum(s2) / len(s2)) * sqrt(len(s2)) / 2", "sign(list_sum(s2))", "CAST([] AS DOUBLE[])"))
+_stream("streaming_median3", "median3", 2.0, _stream_sql(CLIPPED, f"CASE WHEN len(s2) >= 3 THEN abs({MEDIAN('s2[-3:]')} * {math.sqrt(3)!r}) / 2 ELSE 0 END", f"CASE WHEN len(s2) >= 3 THEN sign({MEDIAN('s2[-3:]')}) ELSE 0 END", "CAST([] AS DOUBLE[])").replace("t - last > 3", "t - last > 6"))

@@ -17,12 +17,12 @@ from .ctes import tidy as t
 from .registry import query
 from .relational import pairs
 
-ORIGINS = (15, 18, 21)
-CASES = [(c, h) for c, h in B.CASES if c in ORIGINS]
+CASES = B.CASES
+ORIGINS = sorted({c for c, _ in CASES})
 CASE_ROWS = ", ".join(f"({c}, {h})" for c, h in CASES)
 VALUE = lambda x: f"greatest(exp({x}) - 1, 0)"
 
-FACTORS = f"""{OBS}, {DENSE}, o(c) AS (VALUES (15), (18), (21)), fc(c, h) AS (VALUES {CASE_ROWS}),
+FACTORS = f"""{OBS}, {DENSE}, o(c) AS (VALUES {', '.join(f'({c})' for c in ORIGINS)}), fc(c, h) AS (VALUES {CASE_ROWS}),
 visible AS (SELECT d.*, o.c FROM dense d JOIN o ON d.t < o.c),
 means AS (SELECT territory_id, category, c, avg(y) AS m FROM visible GROUP BY ALL HAVING count(y) > 0),
 zs AS (SELECT v.territory_id, v.category, v.c, v.t, ln(coalesce(last_value(v.y IGNORE NULLS) OVER (PARTITION BY v.territory_id, v.category, v.c ORDER BY v.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), m) + 1) AS z FROM visible v JOIN means USING (territory_id, category, c)),
@@ -32,12 +32,12 @@ ds AS (SELECT zs.*, f, z - f AS d FROM zs JOIN fs USING (category, c, t))"""
 
 @query(f"WITH {FACTORS} SELECT category, c, t, {t('f', 6)} AS f FROM fs")
 def panel_factor(spark, d):
-    return A.decomposed(P.order_panel(spark, d), list(ORIGINS)).select("category", "c", "t", tidy("f", 6).alias("f")).distinct()
+    return A.decomposed(P.order_panel(spark, d), ORIGINS).select("category", "c", "t", tidy("f", 6).alias("f")).distinct()
 
 
-@query(f"WITH {FACTORS} SELECT territory_id, category, c, t, {t('d', 6)} AS d FROM ds WHERE c = 18")
+@query(f"WITH {FACTORS} SELECT territory_id, category, c, t, {t('d', 6)} AS d FROM ds")
 def factor_residuals(spark, d):
-    return A.decomposed(P.order_panel(spark, d), [18]).select(*P.SERIES, "c", "t", tidy("d", 6).alias("d"))
+    return A.decomposed(P.order_panel(spark, d), ORIGINS).select(*P.SERIES, "c", "t", tidy("d", 6).alias("d"))
 
 
 def _growth_sql(k: int) -> str:
@@ -56,11 +56,13 @@ def _candidates(k: int) -> None:
 _candidates(3)
 _candidates(6)
 
-MEMBERS = f"""{FACTORS}, tail AS (SELECT a.*, a.z - b.z AS zy, a.f - b.f AS fy FROM ds a LEFT JOIN ds b ON a.territory_id = b.territory_id AND a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - 3),
-per AS (SELECT territory_id, category, c, arg_max(d, t) AS dl, median(d) AS d3, quantile_cont(zy, 0.5) AS own, least(greatest(coalesce(quantile_cont(fy, 0.5), 0), -0.2), 0.7) AS g FROM tail GROUP BY ALL),
+EARLY = ", ".join(f"({c}, {t0}, CAST({w!r} AS DOUBLE))" for c in ORIGINS if c <= 12 for t0, w in enumerate(A.trend_weights(list(range(c)))))
+MEMBERS = f"""{FACTORS}, ew(c, t, w) AS (VALUES {EARLY}), eg AS (SELECT category, c, least(greatest(sum(w * f), -0.2), 0.7) AS e FROM fs JOIN ew USING (c, t) GROUP BY ALL), tail AS (SELECT a.*, a.z - b.z AS zy, a.f - b.f AS fy FROM ds a LEFT JOIN ds b ON a.territory_id = b.territory_id AND a.category = b.category AND a.c = b.c AND a.t = b.t + 12 WHERE a.t >= a.c - 3),
+per AS (SELECT territory_id, category, c, arg_max(d, t) AS dl, median(d) AS d3, quantile_cont(zy, 0.5) AS own0, quantile_cont(fy, 0.5) AS fy0 FROM tail GROUP BY ALL),
+grown AS (SELECT per.*, least(greatest(coalesce(fy0, e, 0), -0.2), 0.7) AS g, coalesce(own0, least(greatest(coalesce(fy0, e, 0), -0.2), 0.7)) AS own FROM per LEFT JOIN eg USING (category, c)),
 mem AS (SELECT p.territory_id, p.category, p.c, fc.h, {VALUE('s.z')} AS seasonal, {VALUE('s.z + g')} AS pooled_growth, {VALUE('s.z + 0.75 * g + 0.25 * own')} AS shrink_growth, {VALUE('s.f + g + 0.7 * dl + 0.3 * d3')} AS factor_state,
   {VALUE('s.f + g + pow(0.8, fc.h) * (0.7 * dl + 0.3 * d3) + (1 - pow(0.8, fc.h)) * s.d')} AS factor_damped
-  FROM per p JOIN fc USING (c) JOIN ds s ON s.territory_id = p.territory_id AND s.category = p.category AND s.c = p.c AND s.t = p.c + fc.h - 13)"""
+  FROM grown p JOIN fc USING (c) JOIN ds s ON s.territory_id = p.territory_id AND s.category = p.category AND s.c = p.c AND s.t = p.c + fc.h - 13)"""
 
 
 @query(f"WITH {MEMBERS} SELECT territory_id, category, c, h, {', '.join(f'{t(m, 3)} AS {m}' for m in A.MEMBERS)} FROM mem")
@@ -68,41 +70,13 @@ def v4_members(spark, d):
     return A.members(P.order_panel(spark, d), CASES).select(*P.SERIES, "c", "h", *[tidy(m, 3).alias(m) for m in A.MEMBERS])
 
 
-MIX = f"""{BASE}, losses AS (SELECT category, h, model, c AS origin, target, avg(abs(predicted - actual)) AS loss FROM long GROUP BY ALL), asked AS (SELECT DISTINCT category, h, model, c FROM long),
-lj AS (SELECT a.*, CASE WHEN l.target < a.c THEN l.loss END AS loss, CASE WHEN l.target < a.c THEN l.target END AS seen_target FROM asked a LEFT JOIN losses l USING (category, h, model)),
-lr AS (SELECT *, row_number() OVER (PARTITION BY category, h, model, c ORDER BY seen_target DESC NULLS LAST) AS r FROM lj),
-lw AS (SELECT category, h, model, c, CASE WHEN count(loss) < 3 THEN 1.0 ELSE 1 / pow(greatest(avg(loss), 1), 2) END AS w FROM lr WHERE r <= 6 GROUP BY ALL),
-weights AS (SELECT category, h, model, c, w / sum(w) OVER (PARTITION BY category, h, c) AS weight FROM lw),
-mixed AS (SELECT territory_id, category, c, h, target, actual, sum(weight * predicted) AS online_mix FROM long JOIN weights USING (category, h, model, c) GROUP BY ALL)"""
-
-
-@query(f"WITH {MIX} SELECT category, h, c, model, {t('weight', 8)} AS weight FROM weights")
-def mixture_weights(spark, d):
-    return A.mixture(B.long(pairs(spark, d))).withColumn("weight", tidy("weight", 8))
-
-
-@query(f"WITH {MIX} SELECT territory_id, category, c, h, {t('online_mix')} AS online_mix FROM mixed")
-def online_mix(spark, d):
-    return A.online_mix(B.long(pairs(spark, d))).select(*P.SERIES, "c", "h", tidy("online_mix").alias("online_mix"))
-
-
-@query(f"""WITH {MIX}, both_models AS (SELECT m.*, p.seasonal_scaled AS base FROM mixed m JOIN paired p USING (territory_id, category, c, h) WHERE h = 1),
-gl AS (SELECT category, c, avg(abs(base - actual)) AS lb, avg(abs(online_mix - actual)) AS lm FROM both_models GROUP BY ALL),
-gate AS (SELECT category, c, coalesce(count(lb) OVER w >= 3 AND avg(lm) OVER w <= 0.98 * avg(lb) OVER w, FALSE) AS open FROM gl WINDOW w AS (PARTITION BY category ORDER BY c ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
-SELECT territory_id, category, c, open, {t('CASE WHEN open THEN (base + online_mix) / 2 ELSE base END')} AS safe FROM both_models JOIN gate USING (category, c)""")
-def safe_mix(spark, d):
-    base = pairs(spark, d).where("h = 1")
-    rows = A.online_mix(B.long(base)).join(base.select(*P.SERIES, "c", F.col("seasonal_scaled").alias("base")), [*P.SERIES, "c"])
-    return A.safe_mix(rows, "base", "online_mix").select(*P.SERIES, "c", "open", tidy("safe").alias("safe"))
-
-
 NATIONAL = """nat1 AS (SELECT c_mktsegment AS field, (year(o_orderdate) - 1999) * 12 + month(o_orderdate) - 1 AS m, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (100.0 * count(*)) AS v
   FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment <> 'MACHINERY' AND (year(o_orderdate) - 1999) * 12 + month(o_orderdate) - 1 BETWEEN -48 AND 23 GROUP BY 1, 2),
 nat AS (SELECT * FROM nat1 UNION ALL SELECT 'total', m, CAST(sum(CAST(round(v * 100) AS BIGINT)) AS DOUBLE) / 100.0 FROM nat1 GROUP BY m)"""
 
 
 def _grown(lag: int) -> str:
-    return f"""{NATIONAL}, no(c) AS (VALUES (3), (9), (12), (15), (18), (21)), seen AS (SELECT n.*, no.c FROM nat n JOIN no ON n.m < no.c - {lag}),
+    return f"""{NATIONAL}, no(c) AS (VALUES {', '.join(f'({c})' for c in NAT_ORIGINS)}), seen AS (SELECT n.*, no.c FROM nat n JOIN no ON n.m < no.c - {lag}),
 yoy AS (SELECT a.field, a.c, a.m, ln(a.v / b.v) AS g, row_number() OVER (PARTITION BY a.field, a.c ORDER BY a.m DESC) AS r FROM seen a JOIN seen b ON a.field = b.field AND a.c = b.c AND a.m = b.m + 12),
 grown AS (SELECT field, c, least(greatest(median(g), -0.1), 0.5) AS g FROM yoy WHERE r <= 3 GROUP BY ALL),
 ends AS (SELECT field, c, max(m) AS last_m FROM seen GROUP BY ALL),
@@ -113,8 +87,8 @@ carried AS (SELECT s.field, s.c, q.m, s.v * exp(g * q.k) AS v FROM (SELECT field
 #: National fields of two categories; the others take the total.
 FIELDS = {"1-URGENT": "AUTOMOBILE", "5-LOW": "HOUSEHOLD"}
 FIELD_SQL = "CASE d.category " + " ".join(f"WHEN '{c}' THEN '{f}'" for c, f in FIELDS.items()) + " ELSE 'total' END"
-NAT_ORIGINS = [3, 9, 12, 15, 18, 21]
-NAT_CASES = [(3, 12), (9, 12), (12, 1), (12, 3), (12, 12), (15, 1), (18, 1), (18, 6), (21, 1), (21, 3)]
+NAT_CASES = [(3, 12), (9, 12), *B.CASES]
+NAT_ORIGINS = sorted({c for c, _ in NAT_CASES})
 
 
 @query(f"WITH {NATIONAL} SELECT field, m, {t('v')} AS v FROM nat")
@@ -179,14 +153,6 @@ def panel_recent(spark, d):
     return N.panel_recent(P.order_panel(spark, d), NAT_CASES).where("panel_recent IS NOT NULL").select(*P.SERIES, "c", "h", tidy("panel_recent", 3).alias("panel_recent"))
 
 
-@query(f"""WITH {_levels(1)}, {RECENT} SELECT l.territory_id, l.category, l.c, l.h,
-{t("CASE WHEN l.h = 12 THEN level3 WHEN l.h IN (3, 6) THEN seasonal ELSE (seasonal + coalesce(panel_recent, local_blend) + local_blend) / 3 END", 3)} AS final FROM levels l LEFT JOIN recent USING (territory_id, category, c, h)""")
-def v5_forecast(spark, d):
-    panel = P.order_panel(spark, d)
-    parts = N.level_forecasts(panel, N.national(spark, d), NAT_CASES, 1, FIELDS).withColumn("base", F.col("seasonal")).join(N.panel_recent(panel, NAT_CASES), [*P.SERIES, "c", "h"], "left")
-    return N.combined(parts).select(*P.SERIES, "c", "h", tidy("final", 3).alias("final"))
-
-
 EVENTS = "ev(event_id, available, rate, delta) AS (VALUES " + ", ".join(f"('{i}', DATE '{a}', {r}, {x})" for i, a, r, x in news.EVENTS) + ")"
 
 
@@ -250,7 +216,19 @@ def ridge_forecast(spark, d):
     return ridge.forecasts(P.order_panel(spark, d), [(18, 1), (18, 3), (21, 1)]).select(*P.SERIES, "c", "h", tidy("predicted", 2).alias("predicted"))
 
 
-@query()
+#: Short origins, each with its weights.
+SHORT = [6, 9, 12]
+SHORT_WEIGHTS = ", ".join(f"({c}, {t0}, CAST({w!r} AS DOUBLE))" for c in SHORT for t0, w in enumerate(A.trend_weights(list(range(c)))))
+
+
+@query(f"""WITH {FACTORS.replace(f"o(c) AS (VALUES {', '.join(f'({c})' for c in ORIGINS)})", f"o(c) AS (VALUES {', '.join(f'({c})' for c in SHORT)})")}, ew(c, t, w) AS (VALUES {SHORT_WEIGHTS})
+SELECT category, c, {t('least(greatest(sum(w * f), -0.2), 0.7)', 6)} AS growth FROM fs JOIN ew USING (c, t) GROUP BY ALL""")
 def early_growth(spark, d):
-    """Rows only: penalised least squares by category; tested against the closed form."""
-    return A.early_growths(A.decomposed(P.order_panel(spark, d), [12])).withColumn("growth", tidy("growth", 6))
+    """The weights are tested against the penalised fit."""
+    return A.early_growths(A.decomposed(P.order_panel(spark, d), SHORT), SHORT).withColumn("growth", tidy("growth", 6))
+
+
+@query(f"WITH {BASE} SELECT territory_id, category, c, h, {t('CASE WHEN h = 12 THEN damped_trend ELSE seasonal_scaled END', 2)} AS predicted FROM paired WHERE h = 12 OR c < 18")
+def release_rule_early(spark, d):
+    """The rule where it takes no ridge."""
+    return pairs(spark, d).where("h = 12 OR c < 18").select(*P.SERIES, "c", "h", tidy(F.when(F.col("h") == 12, F.col("damped_trend")).otherwise(F.col("seasonal_scaled")), 2).alias("predicted"))

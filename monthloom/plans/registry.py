@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import detection, forecasting, relational  # noqa: F401
+    from . import chain, checks, detection, forecasting, relational  # noqa: F401
 
 
 def queries() -> dict:

@@ -28,7 +28,8 @@ def panel_dense_calendar(spark, d):
 
 @query("""SELECT CAST(sum(CASE WHEN o_custkey IS NULL OR o_orderpriority IS NULL OR o_totalprice IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
   (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM orders GROUP BY strftime(o_orderdate, '%Y-%m'), o_custkey, o_orderpriority)) AS duplicates,
-  CAST(0 AS BIGINT) AS not_finite, CAST(sum(CASE WHEN o_totalprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, CAST(0 AS BIGINT) AS bad_dates FROM orders""")
+  CAST(sum(CASE WHEN isnan(o_totalprice) OR isinf(o_totalprice) THEN 1 ELSE 0 END) AS BIGINT) AS not_finite, CAST(sum(CASE WHEN o_totalprice < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative,
+  CAST(sum(CASE WHEN regexp_full_match(strftime(o_orderdate, '%Y-%m'), '[0-9]{4}-(0[1-9]|1[0-2])') THEN 0 ELSE 1 END) AS BIGINT) AS bad_dates FROM orders""")
 def panel_expectations(spark, d):
     rows = spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM").alias("date"), F.col("o_custkey").alias("territory_id"), F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("y"))
     return P.expectations(rows).select(*[F.col(c).cast("long").alias(c) for c in ("nulls", "duplicates", "not_finite", "negative", "bad_dates")])
@@ -68,10 +69,10 @@ def pairs(spark, d):
 
 def _single(model: str) -> None:
     def run(spark, d):
-        return pairs(spark, d).where("h IN (1, 6)").select("territory_id", "category", "c", "h", tidy(model).alias("predicted"), tidy("actual").alias("actual"))
+        return pairs(spark, d).select("territory_id", "category", "c", "h", tidy(model).alias("predicted"), tidy("actual").alias("actual"))
 
     run.__name__ = model
-    query(f"WITH {BASE} SELECT territory_id, category, c, h, {t(model)} AS predicted, {t('actual')} AS actual FROM paired WHERE h IN (1, 6)")(run)
+    query(f"WITH {BASE} SELECT territory_id, category, c, h, {t(model)} AS predicted, {t('actual')} AS actual FROM paired")(run)
 
 
 for _m in B.MODELS:
@@ -166,14 +167,14 @@ def coverage_width(spark, d):
     return M.coverage(_bounds(spark, d), "h")
 
 
-@query(f"WITH {BASE} SELECT territory_id, category, c, h, model, {t('predicted')} AS predicted FROM long WHERE h = 1")
+@query(f"WITH {BASE} SELECT territory_id, category, c, h, model, {t('predicted')} AS predicted FROM long")
 def unpivot_models(spark, d):
-    return B.long(pairs(spark, d).where("h = 1")).select("territory_id", "category", "c", "h", "model", tidy("predicted").alias("predicted"))
+    return B.long(pairs(spark, d)).select("territory_id", "category", "c", "h", "model", tidy("predicted").alias("predicted"))
 
 
-@query(f"WITH {BASE} SELECT territory_id, category, c, h, {', '.join(f'{t(m)} AS {m}' for m in B.MODELS)} FROM paired WHERE h = 3")
+@query(f"WITH {BASE} SELECT territory_id, category, c, h, {', '.join(f'{t(m)} AS {m}' for m in B.MODELS)} FROM paired")
 def pivot_models(spark, d):
-    rows = B.long(pairs(spark, d).where("h = 3")).groupBy("territory_id", "category", "c", "h").pivot("model", B.MODELS).agg(F.first("predicted"))
+    rows = B.long(pairs(spark, d)).groupBy("territory_id", "category", "c", "h").pivot("model", B.MODELS).agg(F.first("predicted"))
     return rows.select("territory_id", "category", "c", "h", *[tidy(m).alias(m) for m in B.MODELS])
 
 
@@ -204,7 +205,8 @@ def anti_cohort(spark, d):
     return C.hash_ranked(rest, "43").where("place <= 5").withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS common")
+@query(f"""WITH {COHORT}, fives AS (SELECT territory_id FROM ranked WHERE place <= 5), others AS (SELECT territory_id FROM pool ANTI JOIN fives USING (territory_id) QUALIFY row_number() OVER (ORDER BY sha256('43:' || territory_id), territory_id) <= 5)
+SELECT count(*) AS common FROM fives JOIN others USING (territory_id)""")
 def disjoint_cohorts(spark, d):
     return hash_cohort(spark, d).where("place <= 5").select("territory_id").intersect(anti_cohort(spark, d).select("territory_id")).agg(F.count(F.lit(1)).alias("common"))
 
@@ -243,7 +245,8 @@ def interpolated_quantiles(spark, d):
     return pairs(spark, d).groupBy("h").agg(tidy(F.percentile(e, F.lit(0.025))).alias("lo"), tidy(F.percentile(e, F.lit(0.975))).alias("hi"), tidy(F.median(F.abs(e))).alias("median_error"))
 
 
-DRAWS = 200
+#: Draws of territories and of months.
+DRAWS, MONTH_DRAWS = 2000, 10_000
 
 
 @query(f"""WITH {BASE}, s AS (SELECT territory_id, sum(abs(seasonal_scaled - actual)) AS a, sum(abs(last_value - actual)) AS b, count(*) AS n FROM paired GROUP BY 1),
@@ -258,7 +261,7 @@ def bootstrap_draws(spark, d):
 
 MONTHS = f"""{BASE}, m AS (SELECT c, avg(abs(seasonal_scaled - actual)) AS a, avg(abs(last_value - actual)) AS b FROM paired WHERE h = 1 GROUP BY c),
 i AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS at0, count(*) OVER () AS size FROM m),
-draws AS (SELECT draw, CAST(('0x' || substr(md5('month:' || draw || ':' || k), 1, 8)) AS BIGINT) % size AS at0 FROM (SELECT unnest(range(0, {DRAWS})) AS draw), (SELECT size, unnest(range(0, size)) AS k FROM (SELECT DISTINCT size FROM i))),
+draws AS (SELECT draw, CAST(('0x' || substr(md5('month:' || draw || ':' || k), 1, 8)) AS BIGINT) % size AS at0 FROM (SELECT unnest(range(0, {MONTH_DRAWS})) AS draw), (SELECT size, unnest(range(0, size)) AS k FROM (SELECT DISTINCT size FROM i))),
 ds AS (SELECT draw, (sum(a) - sum(b)) / count(*) AS difference FROM draws JOIN i USING (at0) GROUP BY draw)"""
 
 
@@ -269,7 +272,7 @@ def month_bootstrap(spark, d):
 
     error = lambda m: F.avg(F.abs(F.col(m) - F.col("actual")))
     by_origin = pairs(spark, d).where("h = 1").groupBy("c").agg(error("seasonal_scaled").alias("a"), error("last_value").alias("b"))
-    return interval(cluster_draws(by_origin, "c", F.col("a"), F.col("b"), DRAWS, "month")).select(tidy("low").alias("low"), tidy("high").alias("high"))
+    return interval(cluster_draws(by_origin, "c", F.col("a"), F.col("b"), MONTH_DRAWS, "month")).select(tidy("low").alias("low"), tidy("high").alias("high"))
 
 
 DELAYED = BASE.replace("cases(c, h) AS (VALUES ", "cases(c, h) AS (SELECT c - 1, h + 1 FROM (VALUES ").replace("(23, 1))", "(23, 1)) v(c, h))")
@@ -291,19 +294,3 @@ def export_forecasts(spark, d):
     from ..operators.export import export
 
     return export(P.order_panel(spark, d)).select(*P.SERIES, "h", tidy("predicted").alias("predicted"), "status")
-
-
-@query()
-def boosted_factor(spark, d):
-    """Rows only: boosted trees are an approximation; tested for repeatability and bounds."""
-    from ..operators.adapters import boosted
-
-    return boosted(P.order_panel(spark, d), 18, 1).select(*P.SERIES, tidy("predicted", 2).alias("predicted"))
-
-
-@query()
-def season_adapted(spark, d):
-    """Rows only: the wrapper around a registered forecaster; tested on plain arrays."""
-    from ..operators.adapters import forecast
-
-    return forecast(P.order_panel(spark, d), "last", 18, 3, adapted=True).select(*P.SERIES, tidy("predicted", 2).alias("predicted"))

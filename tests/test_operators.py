@@ -43,7 +43,7 @@ FORECASTERS = {
     "members": lambda p: factors.members(p, [(14, 1)]),
     "panel_recent": lambda p: national.panel_recent(p, [(14, 1)]),
     "ridge": lambda p: ridge.forecasts(p, [(14, 1)]),
-    "boosted": lambda p: adapters.boosted(p, 14, 1),
+    "boosted": lambda p: adapters.boosted(p, 14, [1], rounds=10),
     "adapted": lambda p: adapters.forecast(p, "last", 14, 1, adapted=True),
 }
 
