@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import cut, discard, joined
 
 MAX_ROUNDS = 60
+#: Edges that one task takes; a table of no more needs no exchange.
+ONE_TASK = 20_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,13 +23,16 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not last[0]:
             break
+        few = last[0] <= ONE_TASK
+        tight = (lambda df: df.coalesce(1)) if few else (lambda df: df)
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = tight(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = joined(both, low.select("u", "m"), "u", ["v"], counts=low).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        star = both.join(low, "u") if few else joined(both, low.select("u", "m"), "u", ["v"], counts=low)
+        large = star.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
         # small star: u and its smaller neighbours go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = tight(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
         before, now = now, cut(small.where(F.col("u") != F.col("v")).distinct())
         discard(before)
         if (this := signature(now)) == last:

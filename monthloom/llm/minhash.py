@@ -217,11 +217,11 @@ def dealt_blocks(members: DataFrame) -> DataFrame:
     BLOCK * LONG shingles, so long texts make small blocks.
     """
     parts = members.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("long"))
-    whole = parts.groupBy("key").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("n"))
-    sides = joined(parts, whole.select("key", "main"), "key", ["component"]).groupBy("key").agg(F.first("main").alias("main"), *[F.sum(F.when(F.col("component") == F.col("main") if main else F.col("component") != F.col("main"), F.col(c))).alias(c + str(main)) for main in (0, 1) for c in ("k", "long")])
-    of = lambda main: F.ceil(F.greatest(F.col(f"k{main}"), F.col(f"long{main}") / LONG) / BLOCK).cast("int")
-    sides = cut(sides.select("key", "main", of(0).alias("few"), of(1).alias("many")))
-    rows = joined(members, sides, "key", ["cls"], counts=whole)
+    whole = parts.groupBy("key").agg(F.max_by(F.struct("component", "k", "long"), F.struct("k", "component")).alias("top"), F.sum("k").alias("n"), F.sum("long").alias("long"))
+    of = lambda k, long: F.ceil(F.greatest(k, long / LONG) / BLOCK).cast("int")
+    sides = whole.select("key", "n", F.col("top.component").alias("main"), of(F.col("n") - F.col("top.k"), F.col("long") - F.col("top.long")).alias("few"), of(F.col("top.k"), F.col("top.long")).alias("many"))
+    sides = cut(sides)
+    rows = joined(members, sides.drop("n"), "key", ["cls"], counts=sides)
     rest, at = F.col("component") != F.col("main"), F.xxhash64("cls")
     rows = rows.withColumn("block", F.when(rest, F.pmod(at, F.col("few"))).otherwise(F.col("few") + F.pmod(at, F.col("many"))).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(rest, F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
@@ -338,7 +338,7 @@ def groups(docs: DataFrame, rule: Rule = Rule(), text: str = "text", doc_id: str
     if not open_keys.isEmpty():
         rest = cut(across(cut(joined(parted, open_keys.select("key"), "key", ["cls"], counts=open_keys)), classes, docs, rule))
         if not rest.isEmpty():
-            first = cut(components(links.unionByName(rest)))
+            first = cut(components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest)))
     discard(buckets, members, stars, links)
     labels = classes.select("rep", "digest").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     named = joined(rows.select("doc_id", "n_shingles", "digest"), labels, "digest", ["doc_id"], "left", counts=classes.select("digest", "n")).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
