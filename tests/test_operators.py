@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from monthloom import sources as S
-from monthloom.operators import adapters, bootstrap, detectors, factors, integrity, national, news, panel, policy, ridge
+from monthloom.operators import adapters, bootstrap, chain, detectors, factors, integrity, national, news, panel, policy, ridge
 from monthloom.operators import baselines as B
 from monthloom.operators import cohorts as C
 from monthloom.operators import export as E
@@ -349,3 +349,87 @@ def test_stream_equals_batch(spark, sf):
     got = sorted((r.key, r.t, round(r.score, 9), r.alarm) for r in charts.replayed(spark, rows, parts=3).collect())
     batch = detectors.cusum(rows.select(F.xxhash64("key").alias("territory_id"), F.col("key").alias("category"), F.col("t").cast("int").alias("t"), "z"), 4.0)
     assert got == sorted((r.category, r.t, round(r.score, 9), r.alarm) for r in batch.collect())
+
+
+def test_settings_are_checked():
+    import json
+
+    good = {"growth_window": 3, "level_window": 3, "growth_clip": [-0.1, 0.5], "local_growth_clip": [-0.2, 0.7], "pooled_growth_weight": 0.75}
+    assert national.Settings.of(json.dumps(good)).level_window == 3
+    for change in ({"level_window": 0}, {"growth_window": True}, {"growth_window": 2.5}, {"growth_clip": [2, 1]}, {"local_growth_clip": [0, float("inf")]}, {"pooled_growth_weight": 2}, {"more": 1}):
+        with pytest.raises(ValueError):
+            national.Settings.of(json.dumps(good | change))
+    with pytest.raises(ValueError):
+        national.Settings.of(json.dumps({k: v for k, v in good.items() if k != "level_window"}))
+
+
+def test_settings_change_the_levels(spark):
+    p = frame(spark, [100.0 + 5 * (i % 7) + i for i in range(24)], [60.0 + 3 * (i % 5) for i in range(24)])
+    series = spark.createDataFrame([("total", m, 200.0 + m + 3 * (m % 4)) for m in range(-48, 24)], "field string, m int, v double")
+    at = lambda **k: {(r.territory_id, r.h): r for r in national.level_forecasts(p, series, [(18, 1), (18, 12)], settings=national.Settings(**k)).collect()}
+    base = at()
+    assert {k: tuple(r) for k, r in base.items()} == {k: tuple(r) for k, r in at(level_window=3, growth_window=3).items()}
+    narrow = at(level_window=1)
+    assert all(r.level3 == pytest.approx(r.level1) for r in narrow.values()) and any(narrow[k].level3 != base[k].level3 for k in base)
+    assert any(at(pooled_growth_weight=0.0)[k].seasonal != base[k].seasonal for k in base)
+
+
+def test_trend_weights_are_the_penalised_fit():
+    t = np.arange(9.0)
+    f = np.random.default_rng(3).normal(size=9)
+    x = np.stack([np.ones(9), (t - t.mean()) / 12, np.sin(np.pi * t / 6), np.cos(np.pi * t / 6), np.sin(np.pi * t / 3), np.cos(np.pi * t / 3)], axis=1)
+    beta = np.linalg.solve(x.T @ x + np.diag(factors.PENALTIES), x.T @ f)
+    assert np.dot(factors.trend_weights(t.tolist()), f) == pytest.approx(beta[1], abs=1e-6)
+
+
+def test_adapted_last_equals_the_wrapper(spark):
+    rng = np.random.default_rng(4)
+    p = frame(spark, *np.exp(5 + 0.3 * np.sin(np.arange(24) / 2) + rng.normal(0, 0.1, (4, 24))).tolist())
+    own = {(r.territory_id, r.category): r.adapted for r in chain.adapted_last(p, [(18, 3), (12, 1)]).where("c = 18").collect()}
+    wrapped = {(r.territory_id, r.category): r.predicted for r in adapters.forecast(p, "last", 18, 3, adapted=True).collect()}
+    assert own == pytest.approx(wrapped)
+
+
+def test_policy_keeps_the_base_without_enough_gain(spark):
+    rows = spark.createDataFrame([(1, "a", 12, 100.0, 110.0, 109.9), (1, "b", 12, 100.0, 110.0, 105.0), (12, "b", 12, 100.0, 110.0, 100.0), (1, "a", 18, 100.0, 500.0, 100.0)], "h int, category string, c int, actual double, v2 double, other double")
+    policy = chain.policy_of(rows, ["v2", "other"], 15)
+    assert {(r.h, r.category): r.model for r in policy.collect()} == {(1, "a"): "v2", (1, "b"): "other", (12, "b"): "v2"}
+    got = chain.chosen_value(rows.withColumn("fixed", F.lit(7.0)), policy, ["v2", "other"], "value", "fixed")
+    assert sorted((r.h, r.category, r.c, r.value) for r in got.collect()) == [(1, "a", 12, 110.0), (1, "a", 18, 500.0), (1, "b", 12, 105.0), (12, "b", 12, 7.0)]
+
+
+def test_violations_are_counted(spark):
+    p = frame(spark, [100.0 + i for i in range(24)], [50.0] * 24)
+    rows = B.with_actual(B.baselines(p, [(18, 1), (18, 3)]), p)
+    long = B.long(rows)
+    used, choice = spark.createDataFrame([(1, "ALL", "last_value")], "h int, category string, model string"), spark.createDataFrame([(1, "ALL", "seasonal_naive")], "h int, category string, model string")
+    fine = integrity.replayed(rows, p, long, long, used, used).first()
+    assert tuple(fine)[:5] == (0, 0, 0, 0, 0) and fine.pairs == rows.count()
+    broken = rows.withColumn("actual", F.when(F.col("h") == 1, F.col("actual") + 1).otherwise(F.col("actual"))).unionByName(rows.where("h = 3"))
+    bad = integrity.replayed(broken, p, long, B.long(broken), used, choice).first()
+    assert bad.duplicates > 0 and bad.wrong_actuals > 0 and bad.wrong_errors > 0 and bad.wrong_choices == 1
+    a, b = spark.createDataFrame([(1,), (2,), (2,)], "k int"), spark.createDataFrame([(2,), (3,), (4,)], "k int")
+    assert tuple(integrity.set_differences(a, b).first()) == (1, 2)
+    with pytest.raises(ValueError):
+        integrity.validated_join(a, a, ["k"])
+
+
+@pytest.mark.parametrize("method, batch", [("ewma", lambda z: detectors.ewma(z, 2.0)), ("window_mean", lambda z: detectors.window_mean(z, 2.0)), ("median3", lambda z: detectors.robust(z, "median3", 2.0)), ("cusum", lambda z: detectors.cusum(z, 2.0))])
+def test_streams_keep_missing_values(spark, method, batch):
+    z = [None, 0.5, 3.0, None, 2.5, 2.5, -1.0, None, -4.0, -3.0, 0.0, 1.0]
+    rows = spark.createDataFrame([("k", t, v) for t, v in enumerate(z)], "key string, t long, z double")
+    got = sorted((r.t, round(r.score, 9), r.alarm, r.direction) for r in charts.replayed(spark, rows, parts=3, method=method, threshold=2.0).collect())
+    want = batch(rows.select(F.lit(1).alias("territory_id"), F.col("key").alias("category"), F.col("t").cast("int").alias("t"), "z"))
+    assert got == sorted((r.t, round(r.score, 9), r.alarm, r.direction) for r in want.collect()) and len(got) == len(z)
+
+
+def test_stream_scores_look_back_only(spark, tmp_path):
+    import datetime
+
+    start = datetime.datetime(2000, 1, 1)
+    at = lambda n: [(start + datetime.timedelta(hours=h), "a") for h in range(30) for _ in range(n(h))]
+    for name, n in (("one", lambda h: 1 + h % 3), ("two", lambda h: 1 + h % 3 + 20 * (h >= 20))):
+        spark.createDataFrame(at(n), "ts timestamp, event_type string").write.parquet(f"{tmp_path}/{name}/events.parquet")
+    one, two = ({r.t: r.z for r in charts.event_counts(spark, f"{tmp_path}/{name}").collect()} for name in ("one", "two"))
+    first = min(one)
+    assert all(one[first + k] is None for k in range(12)) and all(one[first + k] == two[first + k] for k in range(20)) and one[first + 20] != two[first + 20]
