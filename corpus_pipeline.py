@@ -6,12 +6,10 @@ as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from monthloom.llm import minhash, mixing, packing, toxicity
-from monthloom.llm.common import shared_dir, table
+from monthloom.llm.common import cleared, delete, keep, scratch, table
 from monthloom.llm.queries import vocabulary
 
 
@@ -38,9 +36,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/monthloom/pipeline-{uuid.uuid4().hex}"
+    """Rows of the last stage. What a stage and its operators stored is deleted once the next stage has been written."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        with cleared(spark):
+            path = f"{scratch(spark, 'pipeline')}/{name}"
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+            keep(path.rpartition("/")[0])
+        docs = spark.read.parquet(path)
+        if last is not None:
+            delete(spark, last)
+        last = path
     return docs

@@ -78,17 +78,22 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "cut", "lz4")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     _scratch.discard(path)
 
 
+def keep(path: str) -> None:
+    """Leaves a folder out of what clear() and cleared() delete."""
+    _scratch.discard(path)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes the files of stored tables that nothing will read again."""
     for df in tables:
         if df is not None:
-            _delete(df.sparkSession, df.scratch_path)
+            delete(df.sparkSession, df.scratch_path)
 
 
 @contextmanager
@@ -98,14 +103,14 @@ def cleared(spark: SparkSession):
     try:
         yield
     finally:
-        for path in _scratch - before:
-            _delete(spark, path)
+        for path in set(_scratch) - before:
+            delete(spark, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all that this process has stored; results that have not been read yet are lost."""
     for path in list(_scratch):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 #: A join salts the keys with more rows than HOT_ROWS, the HOT_KEYS largest of them; any other key has under 1 / HOT_KEYS of the rows.
@@ -147,17 +152,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Longest key that a Memo keeps; what is longer is rare and is computed each time.
+KEPT_LENGTH = 64
+
+
 class Memo(dict):
-    """A dict that computes what it lacks, and starts anew when it holds too much."""
+    """A dict that computes what it lacks, and starts anew when it holds too much; bounded in bytes, as long keys are not kept."""
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
         self.compute, self.limit = compute, limit
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= KEPT_LENGTH:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 

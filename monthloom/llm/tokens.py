@@ -7,7 +7,8 @@ count is the initial symbols less the merges and no identifiers are made. A very
 Scale: a map over the scan, no shuffle. Each worker keeps counts of pieces it has met, a bounded number of them.
 
 Cases: null text and empty text have 0 bytes and 0 tokens; repeated rows give repeated rows; a null doc_id stays null;
-an empty table gives an empty result; other columns of the input are not read.
+an empty table gives an empty result; other columns of the input are not read. Bytes that are not UTF-8 count
+as they are and are read as U+FFFD.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", doc_id: s
         for b in batches:
             raw = raw_texts(b)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(map(len, raw), pa.int64(), size=len(raw)), pa.array((text_length(vocab, memo, x.decode()) for x in raw), pa.int64(), size=len(raw))],
+                [b.column("doc_id").cast(pa.int64()), pa.array(map(len, raw), pa.int64(), size=len(raw)), pa.array((text_length(vocab, memo, x.decode(errors="replace")) for x in raw), pa.int64(), size=len(raw))],
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
