@@ -18,7 +18,7 @@ binary search, sorted first, so that pages are read in order. Shards in a store
 asked for, and a worker keeps at most HELD bytes of them.
 
 Scale: what is shuffled is packed (about 9 bytes for each distinct bigram of a task). The number of shards is a power of two that
-follows from the characters of the training texts, SHARD of them each (up to 65,536 shards; beyond 2 TB they grow). All training texts are counted, none is sampled and no n-gram dropped.
+follows from the characters of the training texts, SHARD of them each (up to 65,536 shards; beyond 500 GB they grow). All training texts are counted, none is sampled and no n-gram dropped.
 
 Cases: null and empty texts are the end token alone. Without training rows N = V = 0: the base is log10(1) a token and
 the model 1 / (V + 1) a token. Rows with a null id train and are not held out. Repeated rows count each time. Other
@@ -42,7 +42,7 @@ from .common import Memo, fold, map_batches, mix64, raw_texts, scratch, stored
 START, END = 0x5354415254 << 24, 0x454E44 << 40  # cannot be told from a word's hash, but no word is likely to have them
 SMALL = np.uint64(24)  # a word's hash in bigrams is its upper 40 bits
 ROUND, KEPT_WORDS = 2_500_000, 700_000
-SHARD, MOST_BITS, HELD = 32 << 20, 16, 512 << 20
+SHARD, MOST_BITS, HELD = 8 << 20, 16, 512 << 20
 _words = Memo(xxhash.xxh3_64_intdigest, KEPT_WORDS)
 
 
