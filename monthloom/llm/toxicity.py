@@ -98,16 +98,23 @@ def telling(sample: DataFrame, features: int, screened: int) -> tuple[list[int],
     return first, [r.bucket for r in counts.orderBy(varied, "bucket").limit(screened).collect()]
 
 
-def together(x: list[set[int]], y: np.ndarray, terms: list[int], pairs: int, least: int = 8, far: float = 4.5) -> list[int]:
+def renumbered(x: list[np.ndarray], terms: list[int]) -> list[np.ndarray]:
+    """Each row's terms as places in `terms`; others are left out."""
+    place = np.full(max([0, *terms, *(int(s.max()) for s in x if len(s))]) + 1, -1, np.int32)
+    place[terms] = np.arange(len(terms))
+    return [(at := place[s])[at >= 0] for s in x]
+
+
+def together(x: list[np.ndarray], y: np.ndarray, terms: list[int], pairs: int, least: int = 8, far: float = 4.5) -> list[int]:
     """The terms of the `pairs` pairs that are farthest, in deviations, from what their two terms tell alone; at least `least` rows hold both."""
     if not len(y) or not terms:
         return []
-    place, r = {t: i for i, t in enumerate(terms)}, (y - y.mean()).astype(np.float32)
+    r = (y - y.mean()).astype(np.float32)
     both, told = np.zeros((len(terms), len(terms)), np.float32), np.zeros((len(terms), len(terms)), np.float32)
     for lo in range(0, len(x), 1024):
         dense = np.zeros((len(x[lo : lo + 1024]), len(terms)), np.float32)
-        for k, s in enumerate(x[lo : lo + 1024]):
-            dense[k, [place[t] for t in s if t in place]] = 1
+        for k, s in enumerate(renumbered(x[lo : lo + 1024], terms)):
+            dense[k, s] = 1
         both += dense.T @ dense
         told += dense.T @ (dense * r[lo : lo + 1024, None])
     alone = told.diagonal() / np.maximum(both.diagonal(), 1)
@@ -118,7 +125,7 @@ def together(x: list[set[int]], y: np.ndarray, terms: list[int], pairs: int, lea
     return list(dict.fromkeys(terms[i] for at in top[z.ravel()[top] > far].tolist() for i in divmod(at, len(terms))))
 
 
-def fitted(x: list[set[int]], y: np.ndarray, features: dict[int, int], updates: int = 3000, rate: float = 0.15, decay: float = 1e-5, seed: int = 5) -> Machine:
+def fitted(x: list[np.ndarray], y: np.ndarray, features: dict[int, int], updates: int = 3000, rate: float = 0.15, decay: float = 1e-5, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss over shuffled batches, about `updates` of them; x: features present in each row."""
     rng, d = np.random.default_rng(seed), max(len(features), 1)
     share = (y.sum() + 1e-9) / (len(y) + 1e-9) if len(y) else 0.0
@@ -134,7 +141,7 @@ def fitted(x: list[set[int]], y: np.ndarray, features: dict[int, int], updates:
             rows = order[lo : lo + size]
             dense = np.zeros((len(rows), d))
             for k, r in enumerate(rows):
-                dense[k, list(x[r])] = 1
+                dense[k, x[r]] = 1
             xv = dense @ machine.v
             z = machine.w0 + dense @ machine.w + 0.5 * ((xv**2).sum(axis=1) - dense @ (machine.v**2).sum(axis=1))
             e = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[rows]) / len(rows)
@@ -156,17 +163,16 @@ def learned(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     def run(batches):
         memo = screen.memo()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array([np.array(sorted(s), "<i4").tobytes() for s in screen.present(raw_texts(b), memo)], pa.binary())], ["doc_id", "toxic", "present"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic").cast(pa.int32()), pa.array([np.array(sorted(s), "<u2").tobytes() for s in screen.present(raw_texts(b), memo)], pa.binary())], ["doc_id", "toxic", "present"])
 
     # at most `sample` rows; of rows that repeat an id the one whose terms come first
-    got = map_batches(rows.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, present binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("present").alias("present")).collect()
-    got.sort(key=lambda r: r.doc_id)
-    x, y = [set(np.frombuffer(r.present, "<i4").tolist()) for r in got], np.array([1.0 if r.toxic else 0.0 for r in got])
+    got = map_batches(rows.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, present binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("present").alias("present"))
+    found = sorted((r.doc_id, 1.0 if r.toxic else 0.0, bytes(r.present)) for r in got.toLocalIterator())
+    x, y = [np.frombuffer(p, "<u2") for *_, p in found], np.array([t for _, t, _ in found])
     place = screen.features
     kept = list(dict.fromkeys([*(place[t] for t in first), *together(x, y, [place[t] for t in varied], PAIRS)]))
-    at = {f: i for i, f in enumerate(kept)}
     bucket = list(place)
-    return fitted([{at[f] for f in s if f in at} for s in x], y, {bucket[f]: i for f, i in at.items()})
+    return fitted(renumbered(x, kept), y, {bucket[f]: i for i, f in enumerate(kept)})
 
 
 def scores(docs: DataFrame, machine: Machine, threshold: float = 0.3, text: str = "text", doc_id: str = "doc_id", folds: int = 4, held_out: int = 2) -> DataFrame:
