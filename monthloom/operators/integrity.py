@@ -72,6 +72,15 @@ def validated_join(left: DataFrame, right: DataFrame, on: list[str], how: str =
     return left.join(right, on, how)
 
 
+def looked_up(rows: DataFrame, index: DataFrame, on: list[str], value: str) -> DataFrame:
+    """rows with the value of an index with unique keys; a key that the index lacks is an error when its row is read."""
+    if n := duplicate_keys(index, *on):
+        raise ValueError(f"{n} keys repeat in the index")
+    found = rows.join(index.select(*on, F.col(value).alias("__value"), F.lit(True).alias("__there")), on, "left")
+    missing = F.raise_error(F.concat(F.lit("not in the index: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in on])))
+    return found.withColumn(value, F.when(F.col("__there").isNull(), missing.cast(dict(index.dtypes)[value])).otherwise(F.col("__value"))).drop("__value", "__there")
+
+
 def case_study(panel: DataFrame, alarms: DataFrame, events: DataFrame, before: list[int], after: list[int]) -> DataFrame:
     """For each event (territory_id, event_t, available_t): alarm months at or after it, whether the news was known then, and
     relative_gap, the mean relative yearly growth (in points, against the median series) in the months after less those before."""

@@ -96,6 +96,20 @@ def left_join_actuals(spark, d):
     return I.validated_join(B.baselines(panel), actual, ["territory_id", "category", "target"], "left", left_unique=False).select("territory_id", "category", "c", "h", tidy("last_value").alias("predicted"), tidy("y").alias("actual"))
 
 
+@query(f"WITH {BASE} SELECT {KEY}, {t('o.y')} AS actual FROM wide w JOIN obs o USING (territory_id, category) WHERE o.t = w.target")
+def asserted_lookup(spark, d):
+    """The panel's value of each pair's target month; a pair whose month is not there would be an error."""
+    index = P.order_panel(spark, d).select("territory_id", "category", F.col("t").alias("target"), F.col("y").alias("actual"))
+    return I.looked_up(pairs(spark, d).drop("actual"), index, ["territory_id", "category", "target"], "actual").select("territory_id", "category", "c", "h", tidy("actual").alias("actual"))
+
+
+@query(f"WITH {POLICY} SELECT h, category, model, to_json({{'h': h, 'category': category, 'model': model}}) AS text FROM policy")
+def policy_json(spark, d):
+    """The policy as a JSON text a row, and its fields read from that text."""
+    text = _policy(spark, d)[1].select(F.to_json(F.struct("h", "category", "model")).alias("text"))
+    return text.withColumn("p", F.from_json("text", "h int, category string, model string")).select("p.*", "text")
+
+
 @query(f"""WITH {OBS}, a AS (SELECT DISTINCT territory_id, category FROM obs WHERE t < 12), b AS (SELECT territory_id, category FROM obs GROUP BY ALL HAVING count(*) = 24)
 SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_second""")
 def series_set_differences(spark, d):

@@ -340,6 +340,13 @@ def threshold_by_f1(spark, d):
     return D.chosen_by_f1(_shift_scores(spark, d).select("method", "threshold", "f1", "control_rate"), "method").select("method", "threshold", tidy("f1", 6).alias("f1"), tidy("control_rate", 6).alias("control_rate"))
 
 
+@query(f"""WITH scores AS ({_shift_sql(2)} UNION ALL {_shift_sql(3)}), per AS (SELECT method, threshold, avg(f1) AS f1, max(control_rate) AS control_rate FROM scores GROUP BY ALL)
+SELECT method, threshold, {t('f1', 6)} AS f1, {t('control_rate', 6)} AS control_rate FROM per
+ORDER BY control_rate > 0.1, CASE WHEN control_rate <= 0.1 THEN -f1 ELSE control_rate END, CASE WHEN control_rate <= 0.1 THEN 0 ELSE -f1 END, method, threshold LIMIT 1""")
+def method_choice(spark, d):
+    return D.chosen_across(_shift_scores(spark, d)).select("method", "threshold", tidy("f1", 6).alias("f1"), tidy("control_rate", 6).alias("control_rate"))
+
+
 CASE_Z = f"""{INJECTED}, oy AS (SELECT a.territory_id, a.t, ln(a.y + 1) - ln(b.y + 1) AS ch FROM whole a JOIN whole b ON a.territory_id = b.territory_id AND a.t = b.t + 12), of1 AS (SELECT t, median(ch) AS factor FROM oy GROUP BY t),
 os AS (SELECT t, any_value(factor) AS factor, greatest(1.4826 * median(abs(ch - factor)), 0.02) AS spread FROM oy JOIN of1 USING (t) GROUP BY t),
 zs AS (SELECT i.territory_id || ':' || i.kind AS territory_id, i.t, (ln(i.y + 1) - ln(b.y + 1) - factor) / spread AS z FROM inj i LEFT JOIN inj b ON b.territory_id = i.territory_id AND b.kind = i.kind AND b.t = i.t - 12 LEFT JOIN os ON os.t = i.t)"""

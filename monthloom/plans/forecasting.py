@@ -189,11 +189,13 @@ ls AS (SELECT territory_id, category, c, list(z ORDER BY t) AS xs, regr_slope(z,
 RIDGE_COLUMNS = {
     "level": "xs[c]", "diff1": "xs[c - 1] - xs[c]", "diff2": "xs[c - 2] - xs[c]", "mean3": "list_avg(xs[c - 2:c]) - xs[c]", "mean6": "list_avg(xs[c - 5:c]) - xs[c]", "slope": "slope", "slope_h": "slope * least(h, 6)",
     "seasonal_diff": "xs[c + h - 12] - xs[c]", "yoy": "list_aggregate(list_transform(range(13, c + 1), lambda i: xs[i] - xs[i - 12]), 'median')", "h12": "h / 12.0", "log_h": "ln(1 + h)", "has_season": "CAST(1 AS DOUBLE)", "age": "c / 24.0",
-    "sin1": "sin(2 * pi() * (c + h - 1) / 12)", "cos2": "cos(4 * pi() * (c + h - 1) / 12)", "cat0": "CASE WHEN category = (SELECT min(category) FROM ls) THEN 1.0 ELSE 0.0 END",
 }
+WAVES = {f"{f}{k}": f"{f}({2 * k} * pi() * (c + h - 1) / 12)" for k in (1, 2) for f in ("sin", "cos")}
+RIDGE_COLUMNS |= WAVES | {f"cat{i}": f"CASE WHEN code = {i} THEN 1.0 ELSE 0.0 END" for i in range(6)}
+RIDGE_COLUMNS |= {f"cat{i}_{n}": f"CASE WHEN code = {i} THEN {x} ELSE 0.0 END" for i in range(6) for n, x in WAVES.items()}
 
 
-@query(f"WITH {RIDGE_SQL} SELECT territory_id, category, c, h, {', '.join(f'{t(x, 6)} AS {n}' for n, x in RIDGE_COLUMNS.items())} FROM ls JOIN rc USING (c)")
+@query(f"WITH {RIDGE_SQL} SELECT territory_id, category, c, h, {', '.join(f'{t(x, 6)} AS {n}' for n, x in RIDGE_COLUMNS.items())} FROM (SELECT *, dense_rank() OVER (ORDER BY category) - 1 AS code FROM ls) JOIN rc USING (c)")
 def ridge_features(spark, d):
     panel = P.order_panel(spark, d)
     rows = ridge.feature_rows(panel, RIDGE_CASES, panel.select("category").distinct().count())
