@@ -195,7 +195,7 @@ def synthetic(spark: SparkSession, seed: str, cases: int, length: int = 60) -> D
     The change starts at 14 to 17 in 24 months, else at 28 to 42; up and down shift the level by .12 to .35, slope adds
     .015 to .035 a month from the change on, and an outlier is one month of twice the shift.
     """
-    first, span = (14, 4) if length == 24 else (28, 15)
+    first, span = (14, 4) if length == 24 else (28, 15)  # fixed values, as are the ranges below
     rows = spark.range(cases).withColumn("kind", F.explode(F.array(*map(F.lit, SYNTHETIC)))).withColumn("case_id", F.concat_ws("-", F.lit(seed), F.lit(length), "kind", "id"))
     u = lambda name, lo, hi: F.lit(lo) + F.lit(hi - lo) * uniform(F.col("case_id"), F.lit(name))
     rows = rows.select("case_id", "kind", (F.lit(first) + F.floor(uniform("case_id", F.lit("at")) * span)).cast("int").alias("at"), u("sigma", 0.02, 0.07).alias("sigma"), u("base", 6.0, 10.0).alias("base"), u("trend", -0.002, 0.01).alias("trend"),
@@ -223,7 +223,7 @@ def injected(panel: DataFrame, seed: str = "case") -> DataFrame:
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("territory_id").cast("string"), "category", "kind").cast("binary"))
     rows = rows.withColumn("at", (F.conv(F.substring(key, 1, 6), 16, 10).cast("long") % 5 + 15).cast("int"))
     after = F.col("t") >= F.col("at")
-    factor = (
+    factor = (  # fixed values: the sizes of the changes
         F.when((F.col("kind") == "level_up_10") & after, 1.1).when((F.col("kind") == "level_up_20") & after, 1.2).when((F.col("kind") == "level_down_10") & after, 0.9).when((F.col("kind") == "level_down_20") & after, 0.8)
         .when((F.col("kind") == "slope_up") & after, F.exp(0.03 * (F.col("t") - F.col("at") + 1))).when((F.col("kind") == "outlier") & (F.col("t") == F.col("at")), 1.3).otherwise(1.0)
     )

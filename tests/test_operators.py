@@ -25,6 +25,7 @@ def one(df):
     return df.first().asDict()
 
 
+# The known answers of this and the next tests.
 def test_known_baselines(spark):
     ramp = frame(spark, range(1, 13))
     r = {x.h: x for x in B.baselines(ramp, [(12, 1), (12, 12)]).collect()}
